@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pitlane.llm import sharding, url_filter
+from pitlane.llm import host_quality, packing, sharding, token_files, url_filter
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_histogram_shards": sharding.op2_histogram_shards,
     "op4_host_reputation": url_filter.op4_host_reputation,
+    "op7_seekable_token_files": token_files.op7_seekable_token_files,
+    "op9_host_rules": host_quality.op9_host_rules,
 }
 ORACLES = {
     "op4_host_reputation": url_filter.OP4_SQL,
