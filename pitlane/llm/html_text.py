@@ -139,7 +139,7 @@ def blocks(page: str) -> tuple[list[str], list[list[float]]]:
     return texts, rows
 
 
-def labelled_blocks(seed: int = 1, pages: int = 240) -> tuple[list[list[float]], list[int]]:
+def labelled_blocks(seed: int = 1, pages: int = 300) -> tuple[list[list[float]], list[int]]:
     """The labelled table: FEATURES and 1 (main text) or 0 of the blocks of layouts whose parts are known."""
     r = random.Random(seed)
     X, y = [], []
@@ -155,20 +155,26 @@ def labelled_blocks(seed: int = 1, pages: int = 240) -> tuple[list[list[float]],
             return f'<a href="/{r.randint(1, 99)}">{words(n, keep)}</a>'
 
         def menu() -> str:
-            return "<ul>" + "".join(f"<li>{link(r.randint(1, 3), 0)}</li>" for _ in range(r.randint(3, 8))) + "</ul>"
+            links = [link(r.randint(1, 3), 0) for _ in range(r.randint(3, 8))]
+            kind = r.random()
+            if kind < 0.5:
+                return "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>"
+            if kind < 0.7:
+                return "<table><tr>" + "".join(f"<td>{x}</td>" for x in links) + "</tr></table>"
+            return "".join(f"<{t}>{x}</{t}>" for t in (r.choice(("div", "p")),) for x in links)
 
         def dull(name: str, low: int = 2, high: int = 30) -> str:
             tag = r.choice(("div", "section"))
-            name = name if r.random() < 0.8 else f"c{r.randint(1, 99)}"
+            name = name if r.random() < 0.93 else f"c{r.randint(1, 99)}"
             inner = "".join(f"<p>{words(r.randint(low, high), 0)}</p>" for _ in range(r.randint(1, 4)))
             return f'<{tag} class="{name}">{inner}</{tag}>'
 
-        def story() -> str:
+        def story(held: str) -> str:
             out = [f"<h1>{words(r.randint(2, 12), 1)}</h1>"]
             for _ in range(r.randint(1, 10)):
                 kind = r.random()
                 if kind < 0.65:
-                    text = words(r.choice((1, 2, 5, 12, 30, 60, 120)), 1)
+                    text = words(r.choice((1, 2, 5, 9, 12, 15, 18, 22, 26, 30, 45, 60, 120)), 1)
                     out.append(f"<p>{text}</p>")
                 elif kind < 0.75:
                     out.append(f"<h2>{words(r.randint(1, 7), 1)}</h2>")
@@ -179,11 +185,11 @@ def labelled_blocks(seed: int = 1, pages: int = 240) -> tuple[list[list[float]],
                 elif r.random() < 0.5:
                     out.append(f'<div class="{r.choice(("ad", "promo", "related", "share"))}">{words(r.randint(2, 20), 0)}</div>')
                 else:
-                    out.append(f"<p>{link(r.randint(1, 4), 1)}</p>" if r.random() < 0.3 else f"<p>{words(r.randint(8, 50), 1)}</p>")
+                    out.append(f"<p>{link(r.randint(1, 4), 1)}</p>" if r.random() < 0.3 and held in ("article", "main") else f"<p>{words(r.randint(8, 50), 1)}</p>")
             return "".join(out)
 
-        held = r.choice(("article", "article", "main", 'div class="content"', 'div id="post-body"', "div", ""))
-        body = story()
+        held = r.choice(("article", "article", "main", 'div class="content"', 'div id="post-body"', "div", "", ""))
+        body = story(held)
         body = f"<{held}>{body}</{held.split()[0]}>" if held else body
         before = [f"<nav>{menu()}</nav>" if r.random() < 0.6 else (f'<div class="menu">{menu()}</div>' if r.random() < 0.5 else menu())]
         if r.random() < 0.5:
