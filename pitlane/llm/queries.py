@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pitlane.llm import host_quality, packing, sharding, token_files, url_filter
+from pitlane.llm import host_quality, html_text, near_dup, packing, sharding, token_files, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_histogram_shards": sharding.op2_histogram_shards,
     "op4_host_reputation": url_filter.op4_host_reputation,
+    "op5_signature_join": near_dup.op5_signature_join,
     "op7_seekable_token_files": token_files.op7_seekable_token_files,
+    "op8_block_tree": html_text.op8_block_tree,
     "op9_host_rules": host_quality.op9_host_rules,
 }
 ORACLES = {
