@@ -14,6 +14,8 @@ from collections.abc import Iterable
 
 _SPACED = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 _OTHER_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: ASCII and Latin-1 letters, then ASCII punctuation: the pre-tokenizers cut these two apart and never inside a run of letters.
+_PLAIN = re.compile(rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 _coders: dict[tuple[str, bool], UnitCoder] = {}
 
 
@@ -25,20 +27,70 @@ def coder(path: str, spaced: bool) -> UnitCoder:
 
 
 class UnitCoder:
-    def __init__(self, path: str, spaced: bool, most: int = 300_000, longest: int = 48):
+    """known: ids of units; cores: ids of the letters at a unit's start (lower-cased where the vocabulary is)."""
+
+    def __init__(self, path: str, spaced: bool, most: int = 400_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.spaced, self.most, self.longest = spaced, most, longest
         self.known: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        #: Ids that end a word, or for a vocabulary with marked spaces, that begin one after a space.
+        self.edge = np.zeros(self.model.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.model.get_vocab().items():
+            self.edge[i] = token.startswith("\u0120") if spaced else token.endswith("</w>")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, units: list[bytes], into: dict[bytes, bytes]) -> None:
+        for i in range(0, len(units), 4096):
+            part = units[i : i + 4096]
+            into.update(zip(part, self._ids([u.decode() for u in part])))
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        """Ids of words of letters alone, many to a text; the vocabulary's marks of a word's edge tell them apart."""
+        import numpy as np
+
+        for i in range(0, len(words), 256):
+            part = words[i : i + 256]
+            ids = np.frombuffer(self._ids([(b"" if self.spaced else b" ").join(part).decode()])[0], "<u4")
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) != len(part):
+                self._learn(part, self.cores)
+                continue
+            cuts = (4 * np.append(edges, len(ids)) if self.spaced else np.append(0, 4 * (edges + 1))).tolist()
+            raw = ids.tobytes()
+            self.cores.update((w, raw[cuts[k] : cuts[k + 1]]) for k, w in enumerate(part))
+
+    def _add(self, units: list[bytes], long_: dict[bytes, bytes]) -> None:
+        plain, cores, single, tails, whole = [], set(), set(), set(), []
+        for u in units:
+            m = _PLAIN.fullmatch(u) if len(u) <= self.longest else None
+            if m is None:
+                whole.append(u)
+                continue
+            core, tail = m[1] if self.spaced else m[1].lower(), m[2]
+            plain.append((u, core, tail))
+            if core not in self.cores:
+                (single if self.spaced and core[:1] != b" " else cores).add(core)
+            if tail and tail not in self.tails:
+                tails.add(tail)
+        self._learn_words(list(cores))
+        self._learn(list(single), self.cores)
+        self._learn(list(tails), self.tails)
+        self._learn([u for u in whole if len(u) <= self.longest], self.known)
+        self._learn([u for u in whole if len(u) > self.longest], long_)
+        for u, core, tail in plain:
+            self.known[u] = self.cores[core] + self.tails[tail] if tail else self.cores[core]
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[bytes | list[bytes]] = []
@@ -47,16 +99,17 @@ class UnitCoder:
                 out.append(self._ids([t])[0])
             else:
                 out.append(_SPACED.findall(t.encode()) if self.spaced else t.encode().split())
-        if len(self.known) > self.most:
-            self.known = {}
-        missing = [u for u in set().union(*(x for x in out if isinstance(x, list))) if u not in self.known]
-        at, long_ = self.known, {}
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for unit, ids in zip(part, self._ids([u.decode() for u in part])):
-                (at if len(unit) <= self.longest else long_)[unit] = ids
+        for held, most in ((self.known, self.most), (self.cores, 2 * self.most), (self.tails, self.most)):
+            if len(held) > most:
+                held.clear()
+        missing, long_ = set(), {}
+        for x in out:
+            if x.__class__ is list:
+                missing.update(set(x).difference(self.known))
+        self._add(list(missing), long_)
+        at = self.known
         get = at.__getitem__ if not long_ else lambda u: at[u] if u in at else long_[u]
-        return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in out]
+        return [x if x.__class__ is bytes else b"".join(map(get, x)) for x in out]
 
 
 def text_batches(batch, column: str = "text", most_bytes: int = 4 << 20):
