@@ -3,7 +3,7 @@
 Templates and documents are cut into windows of the same few lengths (LADDER: length and step in
 words). A window's band is the least hash of its five-word shingles under one permutation; windows
 of similarity s share one of `BANDS` bands with probability 1 - (1 - s) ** BANDS, which is over 0.99
-at 0.45. A five-word window is a single shingle, so it meets its template for certain. A document
+at 0.55. A five-word window is a single shingle, so it meets its template for certain. A document
 that shares a band with a template is then held against the whole template: the share of its
 shingles found within one stretch of the document. Only DataFrame functions run.
 """
@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from pitlane.llm.common import long_array, spool
 from pitlane.llm.decontaminate import tokens
 
-SHINGLE, BANDS, CONTAINED = 5, 8, 0.75
+SHINGLE, BANDS, CONTAINED = 5, 6, 0.75
 LADDER = ((5, 1), (8, 1), (12, 2), (24, 4))
 #: Notices as their licenses word them, and the short forms in use.
 TEMPLATES = {
@@ -27,7 +27,6 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
 }
-_ODD = [2 * ((0x9E3779B97F4A7C15 * (j + 1)) % (1 << 62)) + 1 for j in range(BANDS)]
 
 
 def _hashes(words):
@@ -37,9 +36,8 @@ def _hashes(words):
 
 
 def _permuted(j: int):
-    """h under permutation j: the product's high bits decide, so a multiplication without overflow checks on 32 bits of the hash."""
-    a, b = _ODD[j] % (1 << 30) | 1, _ODD[-1 - j] % (1 << 31)
-    return F.transform("h", lambda x: F.pmod(F.shiftrightunsigned(x, 32) * F.lit(a) + F.bitwise_not(x).bitwiseAND(F.lit((1 << 31) - 1)) * F.lit(a >> 7 | 1) + F.lit(b), F.lit((1 << 61) - 1)))
+    """h under permutation j."""
+    return F.transform("h", lambda x: F.xxhash64(x, F.lit(j)))
 
 
 def _bands(j: int, width: int, step: int):
@@ -85,7 +83,8 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     met = F.lit(False)
     for (width, j), values in sorted(by_band.items()):
         met = met | F.arrays_overlap(_bands(j, width, steps[width]), long_array(sorted(set(values))))
-    found = spool(rows.where(met).select("doc_id", "text_hash", "h"), "licensed")
+    # a generator, unlike a filter, isn't pushed below the columns it reads, where each would be computed anew for every use
+    found = spool(rows.select("doc_id", "text_hash", "h", F.explode(F.when(met, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))).alias("met")).drop("met"), "licensed")
     shingles = known.select("template", "license", "need", F.size("w").alias("n"), F.explode(F.array_distinct("h")).alias("shingle"))
     at = found.select("doc_id", "text_hash", F.posexplode("h").alias("pos", "shingle")).distinct().join(F.broadcast(shingles), "shingle")
     near = Window.partitionBy("doc_id", "text_hash", "template").orderBy("pos").rangeBetween(0, 128)
