@@ -8,6 +8,7 @@ strings, white space outside ASCII where it counts) go through it whole.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterable
@@ -103,10 +104,12 @@ class UnitCoder:
             if len(held) > most:
                 held.clear()
         missing, long_ = set(), {}
+        gc.disable()  # the tables below hold no cycles, and walking them again and again costs more than the work
         for x in out:
             if x.__class__ is list:
                 missing.update(set(x).difference(self.known))
         self._add(list(missing), long_)
+        gc.enable()
         at = self.known
         get = at.__getitem__ if not long_ else lambda u: at[u] if u in at else long_[u]
         return [x if x.__class__ is bytes else b"".join(map(get, x)) for x in out]
