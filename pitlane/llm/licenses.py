@@ -1,9 +1,12 @@
 """License notices in documents: MinHash bands over overlapping windows retrieve templates, exact containment verifies.
 
-Templates and documents are cut into windows of the same few lengths (LADDER: length and step in
-words). A window's band is the least hash of its five-word shingles under one permutation; windows
-of similarity s share one of `BANDS` bands with probability 1 - (1 - s) ** BANDS, which is over 0.99
-at 0.55. A five-word window is a single shingle, so it meets its template for certain. A document
+Templates and documents are cut into windows of the same few lengths (LADDER: length, step in words
+of document windows, least template length). Template windows start at every word, and windows are
+shorter than the template by more than their step, so a stretch the document holds unaltered covers
+a whole document window, which equals a template window and shares every band with it for certain.
+Where no such stretch is left, windows of similarity s share one of BANDS bands with probability
+1 - (1 - s) ** BANDS. A band is the least hash of a window's five-word shingles under one
+permutation. A document
 that shares a band with a template is then held against the whole template: the share of its
 shingles found within one stretch of the document. Only DataFrame functions run.
 """
@@ -17,8 +20,8 @@ from pyspark.sql.window import Window
 from pitlane.llm.common import long_array, spool
 from pitlane.llm.decontaminate import tokens
 
-SHINGLE, BANDS, CONTAINED = 5, 6, 0.75
-LADDER = ((5, 1), (8, 1), (12, 2), (24, 4))
+SHINGLE, BANDS, CONTAINED = 5, 3, 0.75
+LADDER = ((5, 1, 0), (8, 2, 12), (12, 4, 20))
 #: Notices as their licenses word them, and the short forms in use.
 TEMPLATES = {
     "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
@@ -70,16 +73,15 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     known = template_rows(spark, templates)
     stored = _with_permutations(known.where("need > 0"))
     by_band: dict[tuple[int, int], list[int]] = {}
-    lengths = [w for w, _ in LADDER]
     for r in stored.select(F.size("w").alias("n"), *(F.col(f"p{j}") for j in range(BANDS))).collect():
-        width = max(w for w in lengths if w <= max(r["n"], lengths[0]))
+        width = max(w for w, _, least in LADDER if r["n"] >= least)
         n = width - SHINGLE + 1
         for j in range(BANDS if n > 1 else 1):
             p = r[f"p{j}"]
             by_band.setdefault((width, j), []).extend(min(p[i : i + n]) for i in range(len(p) - n + 1))
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), tokens(F.col("text")).alias("w"))
     rows = _with_permutations(rows.withColumn("h", _hashes(F.col("w"))).drop("w"))
-    steps = dict(LADDER)
+    steps = {w: step for w, step, _ in LADDER}
     met = F.lit(False)
     for (width, j), values in sorted(by_band.items()):
         met = met | F.arrays_overlap(_bands(j, width, steps[width]), long_array(sorted(set(values))))
