@@ -38,7 +38,7 @@ def rounded(*names: str, digits: int = 8) -> list:
 
 
 def _calendar(t: Tables):
-    return calendar.sessions(t.prices)
+    return t.kept("_calendar", lambda: calendar.sessions(t.prices))
 
 
 def _numbered(t: Tables):
@@ -46,7 +46,7 @@ def _numbered(t: Tables):
 
 
 def _schedule(t: Tables, frequency: str = "monthly"):
-    return calendar.decisions(_calendar(t), frequency)
+    return t.kept(f"_schedule_{frequency}", lambda: calendar.decisions(_calendar(t), frequency))
 
 
 def _momentum(t: Tables):
@@ -62,7 +62,7 @@ def _weighted(t: Tables, scheme: str = "equal"):
 
 
 def _held(t: Tables):
-    return portfolio.holdings(_weighted(t, "rank"), _schedule(t), t.prices)
+    return t.kept("_held", lambda: portfolio.holdings(_weighted(t, "rank"), _schedule(t), t.prices))
 
 
 def _benchmark(t: Tables, rows: DataFrame):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -26,10 +28,11 @@ def ship_code(spark: SparkSession) -> None:
     if app in _sent:
         return
     root = Path(__file__).parent
-    with tempfile.TemporaryDirectory() as folder:
-        path = Path(folder, "pitlane_code.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        spark.sparkContext.addPyFile(str(path))
+    folder = tempfile.mkdtemp(prefix="pitlane-code-")  # the driver serves the file from here as long as it runs
+    atexit.register(shutil.rmtree, folder, True)
+    path = Path(folder, "pitlane_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
     _sent.add(app)

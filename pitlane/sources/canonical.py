@@ -63,6 +63,12 @@ class Tables:
     spark: SparkSession
     path: str
 
+    def kept(self, name: str, build) -> DataFrame:
+        """build(), made once for this object and kept: for small tables that a plan reads many times."""
+        if name not in self.__dict__:
+            self.__dict__[name] = build().persist()
+        return self.__dict__[name]
+
     def _sql(self, text: str) -> DataFrame:
         used = {s: self.spark.read.parquet(f"{self.path}/{s}.parquet") for s in _SOURCES if "{" + s + "}" in text}
         return self.spark.sql(text, **used)
