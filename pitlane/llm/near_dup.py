@@ -10,8 +10,8 @@
    give components; pairs inside one are skipped from here on.
 4. Lists that still span several components are finished. In a short one, the remaining pairs across
    components are tried in the same way. Longer ones are gathered around the component that holds
-   most of the list; its other members are compared on full sets, block against block, with the
-   component's members and among themselves. A block pair sends no more links than it has rows, so no
+   most of the list; its other members are compared, block against block, with the component's
+   members and among themselves: first signatures, then the full sets of rows with a likely partner. A block pair sends no more links than it has rows, so no
    link that joins two components is lost and the pairs of a large group are never listed.
 
 At similarity 0.75 a pair agrees in 72 +- 4.2 of 96 coordinates; match=50 misses one in ten million.
@@ -189,6 +189,24 @@ def _cell(table):
     return pa.table({"a": pa.array([node[left[i]] for i, _ in found], pa.int64()), "b": pa.array([node[right[j]] for _, j in found], pa.int64())})
 
 
+def _likely(table):
+    """The rows of a cell that agree in MATCH coordinates with a row of the other side under another label."""
+    import numpy as np
+    import pyarrow as pa
+
+    signature = np.array(table.column("signature").combine_chunks().flatten()).reshape(-1, K)
+    label, side = (np.array(table.column(c)) for c in ("label", "side"))
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    equal = np.zeros((len(left), len(right)), np.uint8)
+    for k in range(K):
+        equal += signature[left, k][:, None] == signature[right, k][None, :]
+    met = (equal >= MATCH) & (label[left][:, None] != label[right][None, :])
+    keep = np.zeros(len(side), bool)
+    keep[left[met.any(axis=1)]] = True
+    keep[right[met.any(axis=0)]] = True
+    return table.drop_columns(["signature"]).filter(pa.array(keep))
+
+
 def _long_lists(held: DataFrame, classes: DataFrame, docs: DataFrame, block: int = 256) -> DataFrame:
     """Links (a, b) across labels within the lists held (pair, node, label), compared block against block on full sets."""
     most = held.groupBy("pair", "label").count().groupBy("pair").agg(F.max_by("label", F.struct("count", "label")).alias("anchor"))
@@ -209,7 +227,8 @@ def _long_lists(held: DataFrame, classes: DataFrame, docs: DataFrame, block: int
         ),
     )
     cells = near.withColumn("at", at).select("anchor", "node", "label", F.explode(F.when(own, F.transform(each_s, lambda x: cell(x, F.col("at"), 1))).otherwise(others)).alias("c"))
-    cells = spool(cells.select("anchor", "node", "label", "c.x", "c.y", "c.side"), "cells", "lz4")
+    cells = cells.select("anchor", "node", "label", "c.x", "c.y", "c.side").join(classes.select("node", "signature"), "node")
+    cells = spool(cells.groupBy("anchor", "x", "y").applyInArrow(_likely, "node long, anchor long, label long, x int, y int, side int"), "cells", "lz4")
     wanted = classes.join(small(cells.select("node").distinct(), 24), "node", "left_semi").select("node", "doc_id", "digest")
     wanted = small(spool(wanted, "wanted", "lz4"), 64)
     sets = spool(docs.join(wanted, "doc_id").select("node", "digest", "text").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"]), "sets", "lz4")
