@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pitlane.functions import metrics, panel
+from pitlane.functions import metrics, panel, recursive
 from pitlane.operators import asof, calendar, portfolio
 from pitlane.sources.canonical import Tables, oracle_ctes
 
@@ -424,3 +424,31 @@ def future_perturbation(t):
     factor = 1.5 + (F.row_number().over(order) - 1) / F.count("*").over(Window.partitionBy("future"))
     rows = t.prices.withColumn("future", future)
     return rows.select("symbol", *text("session"), F.when(F.col("future"), F.col("close") * factor).otherwise(F.col("close")).alias("close"), F.when(F.col("future"), F.col("volume") * 3).otherwise(F.col("volume")).alias("volume"))
+
+
+# -- exponential averages -------------------------------------------------------------------
+
+_DENSE = _PX + """, span as (select symbol, min(n) as a, max(n) as b from px group by symbol), grid as (select span.symbol, g.n from span join sess g on g.n between a and b),
+den as (select grid.symbol, grid.n, px.close, row_number() over (partition by grid.symbol order by grid.n) as i from grid left join px on px.symbol = grid.symbol and px.n = grid.n)"""
+
+
+def _recurrence(name: str, value: str, source: str, alpha: str) -> str:
+    """(symbol, i, top, weight, seen) of the decayed mean of `value`, one step a session."""
+    return f"""{name} as (select symbol, i, coalesce({value}, 0)::double as top, case when {value} is null then 0.0 else 1.0 end::double as weight, case when {value} is null then 0 else 1 end as seen from {source} where i = 1
+  union all select d.symbol, d.i, case when d.{value} is null then r.top * (1 - {alpha}) when r.seen = 0 then d.{value} else r.top * (1 - {alpha}) + {alpha} * d.{value} end,
+  case when d.{value} is null then r.weight * (1 - {alpha}) when r.seen = 0 then 1.0 else r.weight * (1 - {alpha}) + {alpha} end, r.seen + case when d.{value} is null then 0 else 1 end
+  from {name} r join {source} d on d.symbol = r.symbol and d.i = r.i + 1)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+@register("ema", _recursive(_P + _DENSE + ", " + _recurrence("r", "close", "den", "(2.0 / 11)") + " select den.symbol, cast(session as varchar) as session, round(case when seen >= 10 then top / weight end, 6) as ema from den join r on r.symbol = den.symbol and r.i = den.i join sess on sess.n = den.n where close is not null"))
+def ema(t):
+    return recursive.ema(_numbered(t), 10).select("symbol", *text("session"), F.round(F.nanvl("ema", F.lit(None).cast("double")), 6).alias("ema"))
+
+
+@register("rsi", _recursive(_P + _DENSE + ", st as (select symbol, i, n, close, close - lag(close) over (partition by symbol order by i) as d from den), ud as (select symbol, i, n, close, case when d is not null then greatest(d, 0) end as up, case when d is not null then greatest(-d, 0) end as down from st), " + _recurrence("u", "up", "ud", "(1.0 / 14)") + ", " + _recurrence("v", "down", "ud", "(1.0 / 14)") + " select ud.symbol, cast(session as varchar) as session, round(case when u.seen >= 14 and v.top > 0 then 100 - 100 / (1 + (u.top / u.weight) / (v.top / v.weight)) end, 6) as rsi from ud join u on u.symbol = ud.symbol and u.i = ud.i join v on v.symbol = ud.symbol and v.i = ud.i join sess on sess.n = ud.n where close is not null"))
+def rsi(t):
+    return recursive.rsi(_numbered(t)).select("symbol", *text("session"), F.round(F.nanvl("rsi", F.lit(None).cast("double")), 6).alias("rsi"))
