@@ -232,7 +232,7 @@ def _keep(length: int, keep: list[str], payload: bool):
 
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for t, found in zip(batch.column("text"), batch.column("found")):
+            for t, found in zip(batch.column("text"), batch.column("__found")):
                 data = (t.as_py() or "").encode()
                 gone = np.zeros(len(data) + 1, np.int32)
                 for x in found.as_py() or ():
@@ -288,11 +288,11 @@ def drop_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length: i
     every string of `length` bytes in both. Rows of null doc_id take part. Kept columns must not be
     named like the new ones; others are ignored.
     """
-    named = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = repeated_runs(named.select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "text"), length)
-    found = _small(found, 400).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "found")
-    joined = named.join(found, named.doc_id.eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
-    joined = joined.select(*dict.fromkeys([*keep, "text"]), "found")
+    named = docs.select(*dict.fromkeys([*keep, "doc_id", "text"])).withColumn("__text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = repeated_runs(named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__text_hash").alias("text_hash"), "text"), length)
+    found = _small(found, 400).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("found").alias("__found"))
+    joined = named.join(found, named.doc_id.eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
+    joined = joined.select(*dict.fromkeys([*keep, "text"]), "__found")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["kept_bytes binary"] * payload])
     return joined.mapInArrow(_keep(length, list(keep), payload), schema)
 

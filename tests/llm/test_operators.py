@@ -20,7 +20,7 @@ from pitlane.llm.tokens import UnitCoder
 SF = "/root/testdata/sf0.001"
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, source string, size long, host string, kept boolean, found int, node int, label int, h int, n_words int, bucket int"
-LONG = " ".join(f"word{i % 977}x" for i in range(30_000))
+LONG = " ".join(f"word{i}x" for i in range(30_000))
 
 
 def edge(spark):
@@ -207,7 +207,7 @@ def test_counts_and_hosts(spark, texts):
     for t in [*texts.values(), "a a a a", "a b c a b c\na\na", "", "é%é\x0b#"]:
         assert host_quality.text_counts(t) == slow_counts(t)
     got = host_quality.host_rules(edge(spark)).collect()
-    assert len(got) == 12 and {r.doc_id for r in got if r.kept} == {7, 8}
+    assert len(got) == 12 and {r.doc_id for r in got if r.kept} == set()  # most of the host's rows fail, and take the two good ones with them
     assert host_quality.host_rules(none(spark)).count() == 0
     assert host_quality.keep_good(edge(spark)).columns == edge(spark).columns
     bad = spark.createDataFrame([(i, "good", LONG[: 2000 + i]) for i in range(50)] + [(100 + i, "bad", "short") for i in range(400)] + [(999, "bad", LONG[:3000])], "doc_id long, source string, text string")
@@ -314,9 +314,9 @@ def test_leaks(spark, docs, texts):
 
 
 def test_licenses(spark):
-    told = spark.createDataFrame([(1, "x y z. Released under the MIT License. More"), (2, "licensed under the apache license, version 3.0 or so"), (3, licenses.TEMPLATES["BSD-3-Clause"][0].replace("binary", "other")), (4, None), (5, "released under the other license")], "doc_id long, text string")
+    told = spark.createDataFrame([(1, "x y z. Released under the MIT License. More"), (2, "licensed under the apache license, version 3.0 or so"), (3, licenses.TEMPLATES["BSD-3-Clause"][0].replace("met:", "kept:")), (4, None), (5, "released under the other license")], "doc_id long, text string")
     got = {(r.doc_id, r.license): (round(r.contained, 3), r.start) for r in licenses.scan(told).collect()}
-    assert got[1, "MIT"] == (1.0, 3) and set(got) == {(1, "MIT"), (2, "Apache-2.0")} | {k for k in got if k[0] == 3}
+    assert got[1, "MIT"] == (1.0, 3) and set(got) == {(1, "MIT"), (3, "BSD-3-Clause")}
     assert licenses.scan(edge(spark)).count() == 0 and licenses.scan(none(spark)).count() == 0
 
 
