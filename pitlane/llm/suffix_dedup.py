@@ -113,20 +113,40 @@ def _bytes_of(length: int):
     return run
 
 
-def suffix_ranks(symbols, depth: int):
-    """Order of the suffixes of an array of small integers by their first `depth` symbols at least, by doubling."""
+def suffix_order(symbols, marks: int, depth: int):
+    """Suffixes ordered by their first `depth` symbols at least; the least `marks` symbols occur once each and end a text.
+
+    Seven symbols go into the first key (beyond an end mark, the mark alone decides), and prefixes then
+    double; only suffixes that still share a place with another are sorted again.
+    """
     import numpy as np
 
     n = len(symbols)
-    rank, k = np.unique(symbols, return_inverse=True)[1].astype(np.int64), 1
-    while k < depth:
-        if rank.max() == n - 1:
-            break
-        key = rank * (n + 1)
-        key[: n - k] += rank[k:] + 1
-        rank = np.unique(key, return_inverse=True)[1]
+    key, mark, over = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+    for k in range(7):
+        s = np.zeros(n, np.int64)
+        s[: n - k] = symbols[k:]
+        ends = (s < marks) & ~over
+        mark[ends] = s[ends] + 1
+        over |= ends
+        key = (key << 9) + np.where(over, 0, s - marks + 1)
+    order = np.lexsort((mark, key))
+    new = np.concatenate([[True], (key[order[1:]] != key[order[:-1]]) | (mark[order[1:]] != mark[order[:-1]])])
+    slots, rank, k = np.arange(n), np.empty(n, np.int64), 7
+    rank[order] = np.maximum.accumulate(np.where(new, slots, 0))
+    shared = ~(new & np.concatenate([new[1:], [True]]))
+    slots = slots[shared]
+    while k < depth and len(slots):
+        at = order[slots]
+        pair = rank[at] * (n + 1) + np.where(at + k < n, rank[np.minimum(at + k, n - 1)] + 1, 0)
+        by = np.argsort(pair)
+        at, pair = at[by], pair[by]
+        order[slots] = at
+        new = np.concatenate([[True], pair[1:] != pair[:-1]])
+        rank[at] = np.maximum.accumulate(np.where(new, slots, 0))
+        slots = slots[~(new & np.concatenate([new[1:], [True]]))]
         k *= 2
-    return rank
+    return order
 
 
 def unset_prefixes(texts: list[bytes], length: int):
@@ -142,7 +162,7 @@ def unset_prefixes(texts: list[bytes], length: int):
     s = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + marks
     s[ends] = np.arange(marks)
     n = len(s)
-    order = np.argsort(suffix_ranks(s, length), kind="stable")
+    order = suffix_order(s, marks, length)
     bwt = s[order - 1]  # the symbol before each suffix; before the first text stands the last mark
     lf = np.empty(n, np.int64)
     lf[np.argsort(bwt, kind="stable")] = np.arange(n)
