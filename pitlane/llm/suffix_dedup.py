@@ -6,7 +6,8 @@ each byte such a string covers is removed.
 1. Cutting. The least hash of the ANCHOR-byte strings inside a string of `length` bytes depends on
    that string alone, so equal strings meet under one hash. Starts that share its place are a chunk.
    Chunks whose hash occurs once cannot repeat and end here, without their bytes being moved.
-2. Chunks of equal content become one, with its number of copies.
+2. Chunks of equal content become one, with its number of copies. A hash with a single content is
+   settled by that number.
 3. The rest are dealt into buckets of about a megabyte by their hash. A bucket's chunks, each with an
    end mark of its own, are sorted by suffix (no deeper than needed), and the transform is extended
    backward breadth first: intervals of strings of 1, 2, 3 ... bytes in turn set the common prefix of
@@ -281,8 +282,11 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cut = spool(docs.mapInArrow(_cut(length), "anchor long, content long, doc_id long, text_hash long, first int, starts int"), "chunks")
     each = cut.groupBy("anchor", "content", "starts").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash", "first")).alias("at"))
     each = spool(each, "contents", "lz4")
-    met = each.groupBy("anchor").agg(F.sum("copies").alias("total"), F.sum((F.col("starts") + length - 1).cast("long")).alias("bytes")).where("total > 1")
-    met = spool(each.join(met, "anchor").select("anchor", "content", "starts", "copies", "at", (F.col("bytes") > HOT_BYTES).alias("hot")), "repeated", "lz4")
+    met = each.groupBy("anchor").agg(F.sum("copies").alias("total"), F.sum((F.col("starts") + length - 1).cast("long")).alias("bytes"), F.count("*").alias("contents")).where("total > 1")
+    met = spool(each.join(met, "anchor").select("anchor", "content", "starts", "copies", "at", (F.col("contents") == 1).alias("alone"), (F.col("bytes") > HOT_BYTES).alias("hot")), "repeated", "lz4")
+    # copies of one content alone: every string of it is repeated, and it meets nothing else
+    copied = met.where("alone").select("anchor", "content", F.array(F.lit(0), F.col("starts")).alias("runs"))
+    met = met.where(~F.col("alone"))
     total = met.agg(F.sum((F.col("starts") + length - 1).cast("long"))).first()[0] or 0
     wanted = met.select(F.col("at.doc_id").alias("__id"), F.col("at.text_hash").alias("__hash"), F.struct("anchor", "content", F.col("at.first").alias("first"), "starts", "copies", "hot").alias("x"))
     wanted = _small(spool(wanted.groupBy("__id", "__hash").agg(F.collect_list("x").alias("found")), "wanted", "lz4"), 600)
@@ -296,7 +300,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         often = grams.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("h1", "h2")
         by_chunk = grams.join(often, ["h1", "h2"]).groupBy("anchor", "content").agg(F.collect_set("start").alias("starts"))
         runs = runs.unionByName(by_chunk.select("anchor", "content", F.flatten(F.transform("starts", lambda s: F.array(s, s + 1))).alias("runs")))
-    runs = _small(spool(runs, "runs", "lz4"), 64)
+    runs = _small(spool(runs.unionByName(copied), "runs", "lz4"), 64)
     back = cut.select("anchor", "content", "doc_id", "text_hash", "first").distinct().join(runs, ["anchor", "content"])
     return spool(back.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "runs")).alias("found")), "found", "lz4")
 
