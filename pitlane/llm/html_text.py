@@ -16,12 +16,16 @@ from pyspark.sql import DataFrame
 _BLOCK = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 _HOLDERS = _BLOCK - set("p dt dd hr option tr td th h1 h2 h3 h4 h5 h6 tbody thead tfoot".split())
 _TEXT_HOLDERS = set("h1 h2 h3 h4 h5 h6 li".split())
-_UNSEEN = "script|style|noscript|template|svg|math|textarea|iframe|object|canvas|audio|video|head|select|button"
+_UNSEEN = "noscript|template|svg|math|object|canvas|audio|video|select|button"
+_ATTRIBUTES = r"(?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+"  # a quote opens a value only after "="
+# groups: an element of raw text; the text of a title; slash, name and attributes of a tag
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:{_UNSEEN})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?:{_UNSEEN})\s*>|\Z)" r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|iframe)(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)"
+    rf"|<title(?=[\s/>]){_ATTRIBUTES}>((?:(?!<title[\s/>]|</head[\s>]).)*?)</title(?=[\s/>])[^>]*(?:>|\Z)"
+    rf"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})(?:>|\Z)",
     re.S | re.I,
 )
-_RAW = re.compile(rf"<({_UNSEEN})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
+_UNSEEN_TAG = re.compile(rf"</?({_UNSEEN})(?=[\s/>])", re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 _HIDDEN = re.compile(r"""display\s*:\s*none|visibility\s*:\s*hidden|\bhidden\b(?!-)|aria-hidden\s*=\s*["']?true""", re.I)
 _ASIDE = re.compile(
@@ -37,19 +41,44 @@ def _named(attributes: str) -> str:
     return _NEGATED.sub("", " ".join(x.strip("\"'") for x in _NAMES.findall(attributes)))
 
 
-def _unseen_end(page: str, name: str, at: int) -> int:
-    end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-    return end.end() if end else len(page)
+def _unseen_ends(page: str) -> dict[int, int]:
+    """Where each unseen element of page ends, by where it starts. One without an end tag of its own has no entry."""
+    ends: dict[int, int] = {}
+    opened: list[tuple[str, int]] = []
+    for tag in _TOKEN.finditer(page):
+        unseen = _UNSEEN_TAG.match(page, tag.start())
+        if not unseen:
+            continue
+        name = unseen[1].lower()
+        if not tag[3] and name in ("svg", "math") and tag[0].endswith("/>"):
+            ends[tag.start()] = tag.end()
+            continue
+        if tag[3] or name in ("select", "button"):  # these two end where the next of their kind starts
+            for i in range(len(opened) - 1, -1, -1):
+                if opened[i][0] == name:
+                    if tag[3]:
+                        ends[opened[i][1]] = tag.end()
+                    del opened[i:]
+                    break
+        if not tag[3]:
+            opened.append((name, tag.start()))
+    return ends
 
 
 def blocks(page: str) -> tuple[list[str], list[list[float]]]:
-    """Texts and FEATURES of a page's flat blocks, in page order. Character references are decoded, white space is one space."""
+    """Texts and FEATURES of a page's flat blocks, in page order. Character references are decoded, white space is one space.
+
+    Text of raw elements, of unseen elements that are closed and of a title in head is no block's. Head has no
+    say beyond its title, so its end tag may be missing. Of an unseen element without an end tag only the start
+    tag is skipped; raw text (script, style, textarea, iframe) without one goes on to the page's end, as in HTML.
+    """
     texts: list[str] = []
     rows: list[list[float]] = []
     run: list[str] = []
     stack: list[tuple[str, int, int]] = []
     state = [0, 0, ""]
     linked, in_link, has_main = 0, False, 0
+    in_head, ends = False, None
 
     def cut() -> None:
         nonlocal linked
@@ -77,22 +106,45 @@ def blocks(page: str) -> tuple[list[str], list[list[float]]]:
                 linked += len(text.split())
         if lt == end:
             break
-        raw = _RAW.match(page, lt)
-        if raw:
-            name = raw[1].lower()
-            at = _unseen_end(page, name, raw.end())
-            if name in _BLOCK:
-                cut()
-            continue
         tag = _TOKEN.match(page, lt)
         if not tag:
             run.append("<")
             at = lt + 1
             continue
         at = tag.end()
-        if not tag[2]:
+        if tag[1]:
+            if tag[1].lower() in _BLOCK:
+                cut()
+            continue
+        if tag[2] is not None:
+            cut()
+            if not in_head:
+                state[:] = [*((stack[-1][1], stack[-1][2]) if stack else (0, 0)), ""]
+                run.append(html.unescape(tag[2]))
+                in_link = False
+                cut()
+            continue
+        if not tag[4]:
+            continue
+        name, closing = tag[4].lower(), bool(tag[3])
+        if not closing and _UNSEEN_TAG.match(page, lt):
+            if ends is None:
+                ends = _unseen_ends(page)
+            at = ends.get(lt, at)
+            if name in _BLOCK:
+                cut()
+            continue
+        if name == "head" and not closing:
+            cut()
+            in_head = True
+            continue
+        if name == "title" and in_head and not closing:  # without an end tag: its text goes up to the next tag
+            cut()
+            lt = page.find("<", at)
+            at = lt if lt >= 0 else end
             continue
-        name, closing = tag[2].lower(), bool(tag[1])
+        if name in _BLOCK and name != "html":
+            in_head = False
         if name == "a":
             in_link = not closing
         elif name == "br":
@@ -108,7 +160,7 @@ def blocks(page: str) -> tuple[list[str], list[list[float]]]:
                             break
                 else:
                     aside, main = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
-                    named = _named(tag[3]) if tag[3] else ""
+                    named = _named(tag[5]) if tag[5] else ""
                     if name == "li" and stack and stack[-1][0] == "li":
                         stack.pop()
                         aside, main = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
@@ -116,7 +168,7 @@ def blocks(page: str) -> tuple[list[str], list[list[float]]]:
                         aside = 0
                     if name in ("article", "main") or named and name in ("div", "section") and _MAIN.search(named):
                         main, has_main = 1, 1
-                    if name in ("nav", "footer", "aside", "form", "menu", "dialog", "fieldset") or (name == "header" or "header" in named.lower()) and not main or named and name not in ("html", "body", "article", "main") and _ASIDE.search(named) or tag[3] and _HIDDEN.search(tag[3]):
+                    if name in ("nav", "footer", "aside", "form", "menu", "dialog", "fieldset") or (name == "header" or "header" in named.lower()) and not main or named and name not in ("html", "body", "article", "main") and _ASIDE.search(named) or tag[5] and _HIDDEN.search(tag[5]):
                         aside = 1
                     stack.append((name, aside, main))
                 state[:2] = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
@@ -125,9 +177,9 @@ def blocks(page: str) -> tuple[list[str], list[list[float]]]:
                 state[:] = [*((stack[-1][1], stack[-1][2]) if stack else (0, 0)), ""]
             else:
                 aside, main = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
-                if tag[3]:
-                    named = _named(tag[3])
-                    if named and _ASIDE.search(named) or _HIDDEN.search(tag[3]):
+                if tag[5]:
+                    named = _named(tag[5])
+                    if named and _ASIDE.search(named) or _HIDDEN.search(tag[5]):
                         aside = 1
                 state[:] = [aside, main, name if name in _TEXT_HOLDERS else ""]
     cut()

@@ -187,6 +187,39 @@ def test_block_tree_on_held_out_layouts():
         html_text.main_text(odd, tree)
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<html><head><meta charset=utf-8><title>T</title><body>",
+        "<head><title>T</title>",
+        "<head><title>T</head><body>",
+        "<head><title>The <script> tag</title></head>",
+        '<head><meta content="5" screen"><title>T</title></head>',
+        "<head><script>s = '</head>'</script><title>T</title>",
+        '<svg class="icon" />',
+        "<math/>",
+        "<svg><svg/><path d=''></svg>",
+        "<button class=menu>",
+        "<button>x<svg></button>",
+        "<object>x<object>y</object>z</object>",
+        "<select name=s>",
+        "<noscript>",
+        "<template>",
+        "<object>",
+        "<canvas>",
+        "<audio src=a />",
+        "<video src=a>",
+        "<video-player></video-player>",
+    ],
+)
+def test_pages_whose_end_tags_are_missing(before):
+    """Nothing is lost after a start tag without an end tag, with and without a whole element of its kind further on."""
+    for after in ("", "<svg><title>icon</title></svg><button>b</button><select><option>o</select><object>o</object><video>v</video><audio>a</audio>", "<math>m</math><noscript>n</noscript><template>t</template><canvas>c</canvas>"):
+        assert html_text.blocks(f"{before}<article><h1>News</h1><p>one two three</p>{after}<p>last</p></article>")[0] == ["News", "one two three", "last"]
+    assert html_text.blocks("<p>a</p><script>b<p>c</p>")[0] == ["a"] and html_text.blocks("<title>A &amp; B</title><p>c")[0] == ["A & B", "c"]
+    assert html_text.blocks("<button>1<p>x</p><button>2</button><p>y</p>")[0] == ["1", "x", "y"]
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", None, "z"), (1, "u", "", "z"), (None, None, "<p>hello there</p>", "z")], "page_id long, url string, html string, extra string")
     assert sorted((r.text, r.n_chars) for r in html_text.extract(df).collect()) == [("", 0), ("", 0), ("hello there", 11)]
