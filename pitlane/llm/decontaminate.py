@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from pitlane.llm.common import spool
 
-#: Fixed masks of six tokens: one contiguous, three that ignore one position.
-MASKS = ("111111", "1101111", "1110111", "1111011")
-WINDOW, WINDOW_MATCH, ITEM_SHARE, ITEM_LEAST = 13, 0.75, 0.6, 8
+#: Fixed masks of four tokens, so chosen that every alignment that leaks() asks for holds one of them whole (a test counts all).
+MASKS = ("1111", "10111", "11011", "110101", "111001", "1000111", "1101001")
+WINDOW, WINDOW_MATCH, ITEM_SHARE, ITEM_LEAST, ITEM_TOKENS = 13, 0.75, 0.6, 8, 6
 BROADCAST_BYTES = 16 << 20
 
 
@@ -48,11 +48,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A leak is an alignment without gaps in which some WINDOW tokens of the item (all, if it is
     shorter) have WINDOW_MATCH of them equal, or ITEM_SHARE of the whole item, ITEM_LEAST at least,
-    is equal. Items under six tokens have no seed and match nothing; so do null and empty texts.
+    is equal. Each has a seed. Items under ITEM_TOKENS tokens match nothing; so do null and empty texts.
     Repeated rows give one result. Rows with a null id take part like others. Other columns are ignored.
     """
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), token_hashes(F.col("text")).alias("h"))
-    items = spool(benchmark.select("item_id", token_hashes(F.col("text")).alias("h")).distinct(), "items")
+    items = spool(benchmark.select("item_id", token_hashes(F.col("text")).alias("h")).where(F.size("h") >= ITEM_TOKENS).distinct(), "items")
     seeds = spool(_seeds(items, ["item_id", "h"]).select("item_id", F.col("h").alias("g"), F.col("pos").alias("at"), "seed"), "seeds")
     keyed = seeds.select("seed", "item_id", F.xxhash64("g").alias("item_hash"), "at")
     if seeds.count() * 48 <= BROADCAST_BYTES:

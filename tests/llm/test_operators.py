@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -346,6 +347,31 @@ def test_leaks(spark, docs, texts):
     assert sorted(x.doc_id for x in decontaminate.drop_leaks(told, bench).collect()) == [4, 5, 6]
 
 
+def test_every_leak_has_a_seed(spark):
+    masks = [int(m, 2) for m in decontaminate.MASKS]
+    span = max(map(len, decontaminate.MASKS))
+    most = {0: 0}  # equal tokens at most without a seed, by which of the last tokens are equal
+    for n in range(1, 61):  # longer items consist of parts of 30 to 59 tokens, each under 60 %
+        longer = {}
+        for last, k in most.items():
+            for x in (0, 1):
+                now = (last << 1 | x) & ((1 << span) - 1)
+                if not any(now & m == m for m in masks):
+                    longer[now] = max(longer.get(now, 0), k + x)
+        most = longer
+        if n >= decontaminate.ITEM_TOKENS:
+            assert max(most.values()) < max(8, 0.6 * n)
+        if decontaminate.ITEM_TOKENS <= n <= 13:
+            assert max(most.values()) < 0.75 * n
+    item, long, short = ([f"{c}{i}" for i in range(n)] for c, n in (("a", 13), ("b", 39), ("c", 5)))
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(long)), (3, " ".join(short))], "item_id long, text string")
+    texts = [" ".join("x" if i in gone else w for i, w in enumerate(item)) for gone in itertools.combinations(range(13), 3)]
+    texts += [" ".join("x" if i % 3 == 2 else w for i, w in enumerate(long)), " ".join(short), " ".join(item[:9])]
+    told = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    found = {(x.doc_id, x.item_id): (x.start, x.matched) for x in decontaminate.leaks(told, bench).collect()}
+    assert found == {**{(i, 1): (0, 10) for i in range(286)}, (286, 2): (0, 26), (288, 1): (0, 9)}
+
+
 def test_licenses(spark):
     told = spark.createDataFrame([(1, "x y z. Released under the MIT License. More"), (2, "licensed under the apache license, version 3.0 or so"), (3, licenses.TEMPLATES["BSD-3-Clause"][0].replace("met:", "kept:")), (4, None), (5, "released under the other license")], "doc_id long, text string")
     got = {(r.doc_id, r.license): (round(r.contained, 3), r.start) for r in licenses.scan(told).collect()}
