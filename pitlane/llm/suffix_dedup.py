@@ -321,11 +321,11 @@ def drop_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length: i
     return joined.mapInArrow(_keep(length, list(keep), payload), schema)
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeated passages taken out of text (a character cut in two goes whole) and n_chars brought up to date."""
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with the passages repeated over `length` bytes or more taken out of text (a character cut in two goes whole) and n_chars brought up to date."""
     own = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     bare = docs.withColumnsRenamed(own)
-    rest = drop_repeats(bare, tuple(bare.columns), payload=True)
+    rest = drop_repeats(bare, tuple(bare.columns), length, payload=True)
     cut = F.regexp_replace(F.expr("make_valid_utf8(cast(kept_bytes as string))"), "\ufffd", "")
     out = rest.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(cut)).select(*bare.columns).withColumnsRenamed({v: k for k, v in own.items()})
     return out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -379,6 +379,14 @@ def test_licenses(spark):
     assert licenses.scan(edge(spark)).count() == 0 and licenses.scan(none(spark)).count() == 0
 
 
+def test_repeats_of_fifty_words(spark):
+    passage = " ".join(f"word{i}" for i in range(10, 61))
+    told = spark.createDataFrame([(i, f"{c * 300} {passage} {c * 300}") for i, c in enumerate("abc")], "doc_id long, text string")
+    assert 300 < len(passage) < 400
+    assert [passage in r.text for r in suffix_dedup.without_repeats(told, 250).collect()] == [False] * 3
+    assert [passage in r.text for r in suffix_dedup.without_repeats(told).collect()] == [True] * 3
+
+
 # -- pipeline -------------------------------------------------------------------------------
 
 
