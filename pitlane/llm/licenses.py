@@ -73,8 +73,10 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     known = template_rows(spark, templates)
     stored = _with_permutations(known.where("need > 0"))
     by_band: dict[tuple[int, int], list[int]] = {}
+    reach = 0  # of the longest template's stretch
     for r in stored.select(F.size("w").alias("n"), *(F.col(f"p{j}") for j in range(BANDS))).collect():
         width = max(w for w, _, least in LADDER if r["n"] >= least)
+        reach = max(reach, r["n"] + -(-r["n"] // 4) - 1)
         n = width - SHINGLE + 1
         for j in range(BANDS if n > 1 else 1):
             p = r[f"p{j}"]
@@ -89,7 +91,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     found = spool(rows.select("doc_id", "text_hash", "h", F.explode(F.when(met, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))).alias("met")).drop("met"), "licensed")
     shingles = known.select("template", "license", "need", F.size("w").alias("n"), F.explode(F.array_distinct("h")).alias("shingle"))
     at = found.select("doc_id", "text_hash", F.posexplode("h").alias("pos", "shingle")).distinct().join(F.broadcast(shingles), "shingle")
-    near = Window.partitionBy("doc_id", "text_hash", "template").orderBy("pos").rangeBetween(0, 128)
+    near = Window.partitionBy("doc_id", "text_hash", "template").orderBy("pos").rangeBetween(0, reach)
     far = at.withColumn("inside", F.collect_list(F.struct("pos", "shingle")).over(near))
     inside = F.size(F.array_distinct(F.transform(F.filter("inside", lambda x: x["pos"] < F.col("pos") + F.col("n") + F.ceil(F.col("n") / 4)), lambda x: x["shingle"])))
     share = far.withColumn("contained", inside / F.col("need")).where(F.col("contained") >= CONTAINED)

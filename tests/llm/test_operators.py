@@ -387,6 +387,14 @@ def test_repeats_of_fifty_words(spark):
     assert [passage in r.text for r in suffix_dedup.without_repeats(told).collect()] == [True] * 3
 
 
+def test_long_license(spark):
+    """A whole license text, unaltered and with a stretch of its own put in."""
+    words = [f"t{i}" for i in range(400)]
+    told = spark.createDataFrame([(1, "a b " + " ".join(words)), (2, " ".join([*words[:200], *(f"x{i}" for i in range(90)), *words[200:]])), (3, " ".join(words[:250]))], "doc_id long, text string")
+    got = {r.doc_id: (round(r.contained, 3), r.start) for r in licenses.scan(told, {"Long": (" ".join(words),)}).collect()}
+    assert got == {1: (1.0, 2), 2: (0.99, 0)}
+
+
 # -- pipeline -------------------------------------------------------------------------------
 
 
