@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -13,13 +14,17 @@ from pyspark.sql import functions as F
 
 #: ASCII white space that separates words everywhere in this subpackage.
 SPACE = r"\x20\x09-\x0D"
+#: Writers hold a row group in memory, one for each task.
+ROW_GROUP_BYTES = 32 << 20
 _owned: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session, or on one machine (tests) a temporary one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.TemporaryDirectory(prefix="pitlane-")
         _owned.append(own)
         atexit.register(own.cleanup)
@@ -36,10 +41,30 @@ def new_path(spark: SparkSession, tag: str) -> str:
 def spool(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: later plans start from files that outlive any executor."""
     path = new_path(df.sparkSession, tag)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(run):
+    """A function over Arrow batches that gives freed memory back to the system when a task ends; Python workers live on and would keep it."""
+
+    def bounded(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not glibc
+                pass
+
+    return bounded
+
+
 def long_array(values: Sequence[int]) -> Column:
     """A foldable array<bigint> literal; one string instead of one expression for each value."""
     return F.from_json(F.lit(json.dumps([int(v) for v in values])), "array<bigint>")

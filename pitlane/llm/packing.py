@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pitlane.llm.common import spool
+from pitlane.llm.common import lean, spool
 from pitlane.llm.tokens import coder, text_batches
 
 CAPACITY = 4096
+NEW = ("piece", "start", "length", "ids_crc32", "part", "rank", "ids", "sequence_id", "offset")
 _PIECES = "piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
@@ -99,23 +100,26 @@ def _cut(path: str, end_id: int, capacity: int, keep: list[str], payload: bool):
         import pyarrow as pa
 
         model, part, ranks = coder(path, False), TaskContext.get().partitionId(), {}
-        end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             for first, texts in text_batches(batch):
-                rows, cols = [], ([], [], [], [], [], [], [])
-                for i, ids in enumerate(model.encode(texts)):
-                    ids += end
-                    for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        piece = ids[at : at + 4 * capacity]
-                        n = len(piece) // 4
-                        rank = ranks[n] = ranks.get(n, -1) + 1
-                        rows.append(first + i)
-                        for c, v in zip(cols, (p, at // 4, n, zlib.crc32(piece), part, rank, piece)):
-                            c.append(v)
-                kept = batch.take(pa.array(rows, pa.int64())).select(keep)
-                out = [pa.array(np.array(c, t)) for c, t in zip(cols, ("i4", "i8", "i8", "i8", "i4", "i8"))]
+                ids, at = model.encode_column(texts)
+                data = memoryview(np.insert(ids, at[1:], end_id).tobytes())
+                at += np.arange(len(at))  # an end id more for each text before
+                pieces = -(-np.diff(at) // capacity)
+                row = np.repeat(np.arange(len(texts)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, at[row + 1] - at[row] - start)
+                cuts = (4 * (at[row] + start)).tolist()
+                held = [data[a : a + 4 * n] for a, n in zip(cuts, length.tolist())]
+                rank = []
+                for n in length.tolist():
+                    ranks[n] = ranks.get(n, -1) + 1
+                    rank.append(ranks[n])
+                kept = batch.select(keep).take(pa.array(first + row))
+                out = [pa.array(piece.astype("i4")), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in held], pa.int64()), pa.array(np.full(len(row), part, "i4")), pa.array(rank, pa.int64())]
                 if payload:
-                    out.append(pa.array(cols[6], pa.binary()))
+                    out.append(pa.array([bytes(x) for x in held], pa.binary()))
                 names = ["piece", "start", "length", "ids_crc32", "part", "rank", *["ids"] * payload]
                 yield pa.RecordBatch.from_arrays([*kept.columns, *out], names=[*keep, *names])
 
@@ -144,11 +148,11 @@ def pack(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), e
     """One row for each piece of docs' texts: the kept columns, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     A null or empty text is its end id alone. Repeated rows are packed each for itself. No rows give
-    no rows. Kept columns must not be named like the new ones.
+    no rows. Kept columns named like the new ones are replaced by them.
     """
-    keep = list(keep)
+    keep = [c for c in keep if c not in NEW]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), _PIECES, *["ids binary"] * payload])
-    pieces = spool(docs.select(*keep, "text").mapInArrow(_cut(tokenizer, end_id, capacity, keep, payload), schema), "pieces")
+    pieces = spool(docs.select(*keep, "text").mapInArrow(lean(_cut(tokenizer, end_id, capacity, keep, payload)), schema), "pieces")
     by_task = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = {r[0]: r[1] for r in by_task.groupBy("length").agg(F.sum("n")).collect()}
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitlane.llm.common import new_path, spool
+from pitlane.llm.common import lean, new_path, spool
 from pitlane.llm.tokens import coder, text_batches
 
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, CHECKED = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -46,7 +46,7 @@ class FrameWriter:
         self.press = zstandard.ZstdCompressor(level=level, write_checksum=True)
         self.frames, self.ids, self.sizes, self.held, self.held_bytes = [], [], [], [], 0
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes | memoryview) -> None:
         self.ids.append(_NO_ID if doc_id is None else doc_id)
         self.sizes.append(len(ids) // 4)
         self.held.append(ids)
@@ -134,20 +134,24 @@ class FrameReader:
 
 def _write(folder: str, tokenizer: str, end_id: int):
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         part = TaskContext.get().partitionId()
         store, root = filesystem(folder)
         final, temporary = f"{root}/part-{part:06d}.zst", f"{root}/.{uuid.uuid4().hex}.tmp"
-        model, end, writer, out = coder(tokenizer, True), int(end_id).to_bytes(4, "little"), None, None
+        model, writer, out = coder(tokenizer, True), None, None
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for first, texts in text_batches(batch):
                 if writer is None:
                     out = store.open_output_stream(temporary)
                     writer = FrameWriter(out)
-                for i, x in enumerate(model.encode(texts)):
-                    writer.add(ids[first + i], x + end)
+                tokens, at = model.encode_column(texts)
+                data = memoryview(np.insert(tokens, at[1:], end_id).tobytes())
+                at = (4 * (at + np.arange(len(at)))).tolist()
+                for i in range(len(texts)):
+                    writer.add(ids[first + i], data[at[i] : at[i + 1]])
         if writer is not None:
             writer.close()
             out.close()
@@ -167,7 +171,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, file_byt
     store, root = filesystem(folder)
     store.create_dir(root, recursive=True)
     ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return folder, spool(ordered.mapInArrow(_write(folder, tokenizer, end_id), "part int, file string, docs long, tokens long"), "manifest")
+    return folder, spool(ordered.mapInArrow(lean(_write(folder, tokenizer, end_id)), "part int, file string, docs long, tokens long"), "manifest")
 
 
 def _read(folder: str):
@@ -197,7 +201,7 @@ def read_token_files(folder: str, manifest: DataFrame) -> DataFrame:
         rows.append((r["file"], base))
         base += r["tokens"]
     files = spark.createDataFrame(rows, "file string, base long").repartition(max(1, len(rows)))
-    return files.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(lean(_read(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_seekable_token_files(spark, sf_dir: str) -> DataFrame:
