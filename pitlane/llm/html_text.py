@@ -1,7 +1,7 @@
 """Main text of web pages: flat text blocks classified by a small decision tree.
 
 A page is cut into flat blocks at block-level tags. A block is described by its own word count and
-link density, those of its two neighbours, and what encloses it. A tree, grown here on a small
+link density, those of its two neighbours, and, second, what encloses it. A tree, grown here on a small
 labelled table (labelled_blocks, made from page layouts whose parts are known), keeps or drops it.
 """
 
@@ -13,6 +13,8 @@ import re
 
 from pyspark.sql import DataFrame
 
+from pitlane.llm.common import lean
+
 _BLOCK = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 _HOLDERS = _BLOCK - set("p dt dd hr option tr td th h1 h2 h3 h4 h5 h6 tbody thead tfoot".split())
 _TEXT_HOLDERS = set("h1 h2 h3 h4 h5 h6 li".split())
@@ -35,6 +37,8 @@ _ASIDE = re.compile(
 _NEGATED = re.compile(r"\b(?:no|has|with|without)[-_]\w+", re.I)
 _MAIN = re.compile(r"(?:^|[^a-z])(?:article\w*|main|content|post|entry|story|text|body)(?:$|[^a-z])", re.I)
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "main", "page_has_main", "heading", "item")
+#: The first of FEATURES that count words and links.
+TEXTUAL = 6
 
 
 def _named(attributes: str) -> str:
@@ -191,8 +195,8 @@ def blocks(page: str) -> tuple[list[str], list[list[float]]]:
     return texts, rows
 
 
-def labelled_blocks(seed: int = 1, pages: int = 300) -> tuple[list[list[float]], list[int]]:
-    """The labelled table: FEATURES and 1 (main text) or 0 of the blocks of layouts whose parts are known."""
+def labelled_blocks(seed: int = 1, pages: int = 800, opaque: float = 0.07) -> tuple[list[list[float]], list[int]]:
+    """The labelled table: FEATURES and 1 (main text) or 0 of the blocks of layouts whose parts are known. opaque: the share of side parts whose class name says nothing."""
     r = random.Random(seed)
     X, y = [], []
     for p in range(pages):
@@ -217,8 +221,8 @@ def labelled_blocks(seed: int = 1, pages: int = 300) -> tuple[list[list[float]],
 
         def dull(name: str, low: int = 2, high: int = 30) -> str:
             tag = r.choice(("div", "section"))
-            name = name if r.random() < 0.93 else f"c{r.randint(1, 99)}"
-            inner = "".join(f"<p>{words(r.randint(low, high), 0)}</p>" for _ in range(r.randint(1, 4)))
+            name = name if r.random() >= opaque else f"c{r.randint(1, 99)}"
+            inner = "".join(f"<p>{words(min(high, max(low, int(r.lognormvariate(2.4, 0.9)))), 0)}</p>" for _ in range(r.randint(1, 4)))
             return f'<{tag} class="{name}">{inner}</{tag}>'
 
         def story(held: str) -> str:
@@ -226,7 +230,7 @@ def labelled_blocks(seed: int = 1, pages: int = 300) -> tuple[list[list[float]],
             for _ in range(r.randint(1, 10)):
                 kind = r.random()
                 if kind < 0.65:
-                    text = words(r.choice((1, 2, 5, 9, 12, 15, 18, 22, 26, 30, 45, 60, 120)), 1)
+                    text = words(min(400, max(1, int(r.lognormvariate(3.0, 1.1)))), 1)
                     out.append(f"<p>{text}</p>")
                 elif kind < 0.75:
                     out.append(f"<h2>{words(r.randint(1, 7), 1)}</h2>")
@@ -253,20 +257,47 @@ def labelled_blocks(seed: int = 1, pages: int = 300) -> tuple[list[list[float]],
             before.append(f"<aside><p>{words(r.randint(3, 60), 0)}</p></aside>")
         after = []
         if r.random() < 0.5:
-            after.append(dull(r.choice(("comments", "comment-list", "reply")), 2, 80))
+            after.append(dull(r.choice(("comments", "comment-list", "reply")), 2, 200))
         if r.random() < 0.4:
             after.append(f"<form><p>{words(r.randint(1, 20), 0)}</p></form>")
         if r.random() < 0.4:
             after.append(f"<aside>{menu()}</aside>" if r.random() < 0.5 else dull("related-posts"))
-        after.append(f"<footer>{words(r.randint(2, 25), 0)}</footer>" if r.random() < 0.7 else f'<div id="footer">{words(r.randint(2, 25), 0)}</div>')
+        if r.random() < 0.25:  # nothing around the text
+            before, after = before[: r.random() < 0.5], []
+        else:
+            after.append(f"<footer>{words(r.randint(2, 25), 0)}</footer>" if r.random() < 0.7 else f'<div id="footer">{words(r.randint(2, 25), 0)}</div>')
         texts, rows = blocks(f"<html><body>{''.join(before)}{body}{''.join(after)}</body></html>")
         X += rows
         y += [labels[t] for t in texts]
     return X, y
 
 
-def grow(X, y, depth: int = 8, least: int = 8):
-    """A decision tree by Gini impurity: (feature, threshold, tree if <=, tree if >) or the leaf's class."""
+def _split(X, y, at, features, least: int):
+    """(cost, feature, threshold) of the split of rows `at` with the least Gini impurity, sides of `least` rows at least; None without one."""
+    import numpy as np
+
+    n, ones, best = len(at), y[at].sum(), None
+    for f in features:
+        order = at[np.argsort(X[at, f], kind="stable")]
+        v, c = X[order, f], np.cumsum(y[order])
+        k = np.flatnonzero(v[1:] > v[:-1]) + 1
+        k = k[(k >= least) & (k <= n - least)]
+        if len(k):
+            a, b = c[k - 1], ones - c[k - 1]
+            cost = a * (k - a) / k + b * (n - k - b) / (n - k)
+            i = int(np.argmin(cost))
+            if best is None or cost[i] < best[0]:
+                best = (cost[i], f, (v[k[i] - 1] + v[k[i]]) / 2)
+    return best
+
+
+def grow(X, y, depth: int = 12, least: int = 8, textual: int = 4, broad: float = 0.005):
+    """A decision tree by Gini impurity: (feature, threshold, tree if <=, tree if >) or the leaf's class.
+
+    Word counts and link densities, a block's own and its neighbours', ask in the first `textual` levels,
+    where a side holds `broad` of all rows at least, so no leaf hangs on a few odd lengths. What they
+    can't tell apart, what encloses a block does.
+    """
     import numpy as np
 
     X, y = np.asarray(X, float), np.asarray(y, float)
@@ -275,19 +306,11 @@ def grow(X, y, depth: int = 8, least: int = 8):
         n, ones = len(at), y[at].sum()
         if not left or n < 2 * least or ones in (0, n):
             return int(2 * ones >= n)
-        best = (ones * (n - ones) / n - 1e-9, -1, 0.0)
-        for f in range(X.shape[1]):
-            order = at[np.argsort(X[at, f], kind="stable")]
-            v, c = X[order, f], np.cumsum(y[order])
-            k = np.flatnonzero(v[1:] > v[:-1]) + 1
-            k = k[(k >= least) & (k <= n - least)]
-            if len(k):
-                a, b = c[k - 1], ones - c[k - 1]
-                cost = a * (k - a) / k + b * (n - k - b) / (n - k)
-                i = int(np.argmin(cost))
-                if cost[i] < best[0]:
-                    best = (cost[i], f, (v[k[i] - 1] + v[k[i]]) / 2)
-        if best[1] < 0:
+        now = ones * (n - ones) / n
+        best = _split(X, y, at, range(TEXTUAL), max(least, int(broad * len(y)))) if left > depth - textual else None
+        if best is None or best[0] >= now - 1e-9:
+            best = _split(X, y, at, range(X.shape[1]), least)
+        if best is None or best[0] >= now - 1e-9:
             return int(2 * ones >= n)
         low = X[at, best[1]] <= best[2]
         return (best[1], float(best[2]), node(at[low], left - 1), node(at[~low], left - 1))
@@ -295,6 +318,15 @@ def grow(X, y, depth: int = 8, least: int = 8):
     return node(np.arange(len(y)), depth)
 
 
+def decided_by_text(tree, row) -> bool:
+    """Does the tree judge a block by words and link densities alone."""
+    while tree.__class__ is tuple:
+        if tree[0] >= TEXTUAL:
+            return False
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return True
+
+
 def kept(tree, row) -> int:
     while tree.__class__ is tuple:
         tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
@@ -320,12 +352,13 @@ def _extract(keep: list[str], tree):
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), seed: int = 1) -> DataFrame:
     """The kept columns of pages with text (blocks kept, joined by an empty line) and n_chars (code points).
 
-    A null or empty html has an empty text. Repeated rows are kept. Nothing is cut off or capped. Kept
-    columns must not be named text or n_chars.
+    A null or empty html has an empty text. Repeated rows are kept. No pages give no rows. Nothing is cut off or capped. Kept
+    columns named text or n_chars are replaced.
     """
+    keep = tuple(c for c in keep if c not in ("text", "n_chars"))
     tree = grow(*labelled_blocks(seed))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema), "text string, n_chars long"])
-    return pages.select(*dict.fromkeys([*keep, "html"])).mapInArrow(_extract(list(keep), tree), schema)
+    return pages.select(*dict.fromkeys([*keep, "html"])).mapInArrow(lean(_extract(list(keep), tree)), schema)
 
 
 def op8_block_tree(spark, sf_dir: str) -> DataFrame:
