@@ -5,8 +5,9 @@
    least `match` of `k` coordinates agree in one of the first k - match + 1, whatever the order of
    coordinates, if that order is the same for all. Frequent pairs come last in it and are mostly
    skipped. (Which pairs are frequent is estimated; the order changes the work, never the result.)
-3. Posting lists are merged: each member meets the list's leader, collisions of a pair are counted
-   once, and pairs of `match` equal coordinates are confirmed on their full sets. Confirmed links
+3. Posting lists are merged: each member meets the list's leader. A candidate's collisions are
+   counted over all coordinates, posted or skipped, and pairs above the threshold, `match`, are
+   confirmed on their full sets. Confirmed links
    give components; pairs inside one are skipped from here on.
 4. Lists that still span several components are finished. In a short one, the remaining pairs across
    components are tried in the same way. Longer ones are gathered around the component that holds
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitlane.llm.common import spool
+from pitlane.llm.common import lean, spool
 
 K, MATCH, PERCENT = 96, 50, 75
 #: Tables up to this many bytes are broadcast; larger ones are joined by shuffling both sides.
@@ -38,13 +39,12 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
 def _sketch(batches):
     import pyarrow as pa
 
-    from pitlane.llm.shingles import Signer, digest, shingle_set
+    from pitlane.llm.shingles import Signer, column_sets, digest
 
     sign = Signer(K)
     for batch in batches:
         names, sizes, signatures = [], [], []
-        for t in batch.column("text"):
-            s = shingle_set(t.as_py())
+        for s in column_sets(batch.column("text")):
             sizes.append(len(s))
             names.append(digest(s) if len(s) else None)
             signatures.append(sign(s).view("i4") if len(s) else None)
@@ -104,7 +104,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     texts = spool(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "texts")
     text = lambda x: texts.select(F.col("doc_id").alias(f"doc_{x}"), F.col("text").alias(f"text_{x}"))
     both = likely.join(text("b"), "doc_b").join(text("a"), "doc_a").select("a", "b", "digest_a", "digest_b", "text_a", "text_b")
-    return spool(both.mapInArrow(_confirm, "a long, b long").distinct(), "links")
+    return spool(both.mapInArrow(lean(_confirm), "a long, b long").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -125,12 +125,11 @@ def components(links: DataFrame) -> DataFrame:
 def _sets(batches):
     import pyarrow as pa
 
-    from pitlane.llm.shingles import digest, shingle_set
+    from pitlane.llm.shingles import column_sets, digest
 
     for batch in batches:
         rows, out = [], []
-        for i, t in enumerate(batch.column("text")):
-            s = shingle_set(t.as_py())
+        for i, s in enumerate(column_sets(batch.column("text"))):
             if digest(s) == batch.column("digest")[i].as_py():
                 rows.append(i)
                 out.append(s.tobytes())
@@ -207,7 +206,7 @@ def _likely(table):
     return table.drop_columns(["signature"]).filter(pa.array(keep))
 
 
-def _long_lists(held: DataFrame, classes: DataFrame, docs: DataFrame, block: int = 256) -> DataFrame:
+def _long_lists(held: DataFrame, classes: DataFrame, docs: DataFrame, block: int = 1024) -> DataFrame:
     """Links (a, b) across labels within the lists held (pair, node, label), compared block against block on full sets."""
     most = held.groupBy("pair", "label").count().groupBy("pair").agg(F.max_by("label", F.struct("count", "label")).alias("anchor"))
     near = spool(held.join(most, "pair").select("anchor", "node", "label").distinct(), "around", "lz4")
@@ -231,7 +230,7 @@ def _long_lists(held: DataFrame, classes: DataFrame, docs: DataFrame, block: int
     cells = spool(cells.groupBy("anchor", "x", "y").applyInArrow(_likely, "node long, anchor long, label long, x int, y int, side int"), "cells", "lz4")
     wanted = classes.join(small(cells.select("node").distinct(), 24), "node", "left_semi").select("node", "doc_id", "digest")
     wanted = small(spool(wanted, "wanted", "lz4"), 64)
-    sets = spool(docs.join(wanted, "doc_id").select("node", "digest", "text").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"]), "sets", "lz4")
+    sets = spool(docs.join(wanted, "doc_id").select("node", "digest", "text").mapInArrow(lean(_sets), "node long, shingles binary").dropDuplicates(["node"]), "sets", "lz4")
     return spool(cells.join(sets, "node").groupBy("anchor", "x", "y").applyInArrow(_cell, "a long, b long").distinct(), "links")
 
 
@@ -244,7 +243,7 @@ def near_duplicates(docs: DataFrame, short: int = 16) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = spool(
-        docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).mapInArrow(_sketch, "doc_id long, text_hash long, digest binary, n_shingles long, signature array<int>"), "sketch", "lz4"
+        docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).mapInArrow(lean(_sketch), "doc_id long, text_hash long, digest binary, n_shingles long, signature array<int>"), "sketch", "lz4"
     )
     usable = sketch.where("digest is not null and doc_id is not null")
     classes = spool(usable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()), "classes", "lz4")
@@ -255,10 +254,10 @@ def near_duplicates(docs: DataFrame, short: int = 16) -> DataFrame:
     import numpy as np
 
     hot = np.sort(np.array([r[0] for r in often.orderBy(F.desc("count"), "pair").limit(_HOT_MOST).select("pair").collect()], "i8"))
-    posted = classes.select("node", "signature").mapInArrow(_post(hot), "pair long, node long")
+    posted = classes.select("node", "signature").mapInArrow(lean(_post(hot)), "pair long, node long")
     lists = posted.groupBy("pair").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
     lists = spool(posted.join(lists, "pair"), "postings", "lz4")
-    pairs = spool(lists.where("leader < node").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("hits")).select("a", "b"), "met", "lz4")
+    pairs = spool(lists.where("leader < node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "met", "lz4")
     links = _verified(pairs, classes, docs)
     labels = components(links)
     held = lists.select("pair", "node", "size").join(labels, "node", "left").select("pair", "node", "size", F.coalesce("label", "node").alias("label"))
