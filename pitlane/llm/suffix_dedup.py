@@ -25,10 +25,11 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitlane.llm.common import spool
+from pitlane.llm.common import lean, spool
 
 LENGTH, ANCHOR = 400, 64
-BUCKET_BYTES, HOT_BYTES, BROADCAST_BYTES = 1 << 20, 2 << 20, 16 << 20
+BUCKET_BYTES, HOT_BYTES = 1 << 20, 2 << 20
+NEW = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "kept_text")
 _powers: list = []
 
 
@@ -246,13 +247,25 @@ def _grams(length: int):
     return run
 
 
+def _whole_characters(data: bytes, drop) -> str:
+    """The text of the characters of which no byte is dropped."""
+    import numpy as np
+
+    raw = np.frombuffer(data, np.uint8)
+    if not drop.any():
+        return data.decode()
+    first = np.flatnonzero((raw & 0xC0) != 0x80)
+    size = np.diff(np.append(first, len(raw)))
+    return raw[~np.repeat(np.add.reduceat(drop, first, dtype=np.int64) > 0, size)].tobytes().decode()
+
+
 def _keep(length: int, keep: list[str], payload: bool):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for t, found in zip(batch.column("text"), batch.column("__found")):
                 data = (t.as_py() or "").encode()
                 gone = np.zeros(len(data) + 1, np.int32)
@@ -262,24 +275,20 @@ def _keep(length: int, keep: list[str], payload: bool):
                     np.add.at(gone, runs[1::2] + length - 1, -1)
                 drop = np.cumsum(gone)[:-1] > 0
                 rest = np.frombuffer(data, np.uint8)[~drop].tobytes()
-                for c, v in zip(out, (len(data), int(drop.sum()), len(_runs(drop)) // 2, hashlib.sha256(rest).hexdigest(), rest)):
+                for c, v in zip(out, (len(data), int(drop.sum()), len(_runs(drop)) // 2, hashlib.sha256(rest).hexdigest(), len(rest), _whole_characters(data, drop) if payload else None)):
                     c.append(v)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"]
-            n = 5 if payload else 4
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "kept_text"]
+            n = 6 if payload else 5
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, t) for c, t in list(zip(out, types))[:n])], names=[*keep, *names[:n]])
 
     return run
 
 
-def _small(df: DataFrame, row_bytes: int) -> DataFrame:
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
-
-
 def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, text_hash and found (first, runs of repeated starts counted from it) of each text that holds one."""
     spark = docs.sparkSession
-    cut = spool(docs.mapInArrow(_cut(length), "anchor long, content long, doc_id long, text_hash long, first int, starts int"), "chunks")
+    cut = spool(docs.mapInArrow(lean(_cut(length)), "anchor long, content long, doc_id long, text_hash long, first int, starts int"), "chunks")
     each = cut.groupBy("anchor", "content", "starts").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash", "first")).alias("at"))
     each = spool(each, "contents", "lz4")
     met = each.groupBy("anchor").agg(F.sum("copies").alias("total"), F.sum((F.col("starts") + length - 1).cast("long")).alias("bytes"), F.count("*").alias("contents")).where("total > 1")
@@ -289,36 +298,37 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     met = met.where(~F.col("alone"))
     total = met.agg(F.sum((F.col("starts") + length - 1).cast("long"))).first()[0] or 0
     wanted = met.select(F.col("at.doc_id").alias("__id"), F.col("at.text_hash").alias("__hash"), F.struct("anchor", "content", F.col("at.first").alias("first"), "starts", "copies", "hot").alias("x"))
-    wanted = _small(spool(wanted.groupBy("__id", "__hash").agg(F.collect_list("x").alias("found")), "wanted", "lz4"), 600)
+    wanted = wanted.groupBy("__id", "__hash").agg(F.collect_list("x").alias("found"))
     source = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("__id")) & (docs.text_hash == F.col("__hash"))).select("text", "found")
-    data = spool(source.mapInArrow(_bytes_of(length), "anchor long, content long, copies long, hot boolean, data binary"), "bytes").dropDuplicates(["anchor", "content"])
+    data = spool(source.mapInArrow(lean(_bytes_of(length)), "anchor long, content long, copies long, hot boolean, data binary"), "bytes").dropDuplicates(["anchor", "content"])
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     dealt = data.where(~F.col("hot")).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
     runs = dealt.groupBy("bucket").applyInArrow(_bucket(length), "anchor long, content long, runs array<int>")
     if met.where("hot").limit(1).count():
-        grams = spool(data.where("hot").mapInArrow(_grams(length), "anchor long, content long, copies long, h1 long, h2 long, start int"), "grams", "lz4")
+        grams = spool(data.where("hot").mapInArrow(lean(_grams(length)), "anchor long, content long, copies long, h1 long, h2 long, start int"), "grams", "lz4")
         often = grams.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("h1", "h2")
         by_chunk = grams.join(often, ["h1", "h2"]).groupBy("anchor", "content").agg(F.collect_set("start").alias("starts"))
         runs = runs.unionByName(by_chunk.select("anchor", "content", F.flatten(F.transform("starts", lambda s: F.array(s, s + 1))).alias("runs")))
-    runs = _small(spool(runs.unionByName(copied), "runs", "lz4"), 64)
+    runs = spool(runs.unionByName(copied), "runs", "lz4")
     back = cut.select("anchor", "content", "doc_id", "text_hash", "first").distinct().join(runs, ["anchor", "content"])
     return spool(back.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "runs")).alias("found")), "found", "lz4")
 
 
 def drop_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length: int = LENGTH, payload: bool = False) -> DataFrame:
-    """The kept columns of docs, n_bytes, n_removed, n_spans and kept_sha256 (and kept_bytes) of each row.
+    """The kept columns of docs, n_bytes, n_removed, n_spans, kept_sha256 and n_kept (and kept_text, of characters kept whole) of each row.
 
     A null text is empty. Texts under `length` bytes lose nothing. A row that appears twice loses
-    every string of `length` bytes in both. Rows of null doc_id take part. Kept columns must not be
-    named like the new ones; others are ignored.
+    every string of `length` bytes in both. Rows of null doc_id take part. No rows give no rows. Kept
+    columns named like the new ones are replaced by them; others are ignored.
     """
+    keep = tuple(c for c in keep if c not in NEW)
     named = docs.select(*dict.fromkeys([*keep, "doc_id", "text"])).withColumn("__text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     found = repeated_runs(named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__text_hash").alias("text_hash"), "text"), length)
-    found = _small(found, 400).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("found").alias("__found"))
+    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("found").alias("__found"))
     joined = named.join(found, named.doc_id.eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
     joined = joined.select(*dict.fromkeys([*keep, "text"]), "__found")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["kept_bytes binary"] * payload])
-    return joined.mapInArrow(_keep(length, list(keep), payload), schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long", *["kept_text string"] * payload])
+    return joined.mapInArrow(lean(_keep(length, list(keep), payload)), schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -326,8 +336,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     own = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     bare = docs.withColumnsRenamed(own)
     rest = drop_repeats(bare, tuple(bare.columns), length, payload=True)
-    cut = F.regexp_replace(F.expr("make_valid_utf8(cast(kept_bytes as string))"), "\ufffd", "")
-    out = rest.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(cut)).select(*bare.columns).withColumnsRenamed({v: k for k, v in own.items()})
+    out = rest.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))).select(*bare.columns).withColumnsRenamed({v: k for k, v in own.items()})
     return out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
