@@ -17,6 +17,7 @@ SPACE = r"\x20\x09-\x0D"
 #: Writers hold a row group in memory, one for each task.
 ROW_GROUP_BYTES = 32 << 20
 _owned: list[tempfile.TemporaryDirectory] = []
+_folders: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,8 +35,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing uses yet, in a folder of this application that goes when the driver ends."""
+    own = f"{shared_dir(spark)}/pitlane-{spark.sparkContext.applicationId}"
+    if own not in _folders:
+        _folders.add(own)
+        atexit.register(_remove, spark, own)
+    return f"{own}/{tag}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the application has ended before
+        pass
 
 
 def spool(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
