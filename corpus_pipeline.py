@@ -18,6 +18,10 @@ from pitlane.llm.packing import pack
 from pitlane.llm.suffix_dedup import without_repeats
 
 
+#: Bytes of a passage that may stay only once; passages of fifty words reach it.
+PASSAGE = 250
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
@@ -27,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_repeats(docs)
+    return without_repeats(docs, PASSAGE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
