@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitlane.operators.portfolio import equity
+
 
 def finite(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
@@ -59,3 +61,25 @@ def against_benchmark(rows: DataFrame, per_year: float) -> DataFrame:
         F.when(ok & (F.col("sd") > 0), (F.col("ms") - F.col("mb")) / F.col("sd") * per_year**0.5).alias("information_ratio"),
         F.when(ok, F.col("correlation")).alias("correlation"),
     )
+
+
+def trading(rows: DataFrame, per_year: float) -> DataFrame:
+    """average_turnover, annual_turnover and average_gross_exposure over periods with a return."""
+    a = rows.where("strategy_return is not null").agg(F.avg("turnover").alias("average_turnover"), F.avg("gross_exposure").alias("average_gross_exposure"))
+    return a.select("average_turnover", (F.col("average_turnover") * per_year).alias("annual_turnover"), "average_gross_exposure")
+
+
+def max_drawdown(rows: DataFrame, column: str = "strategy_return") -> DataFrame:
+    """max_drawdown of rows (exit, column): the least of equity over its running maximum, less one. The peak starts after the first period."""
+    return equity(rows.where(F.col(column).isNotNull()), column).agg(F.coalesce(F.min("drawdown"), F.lit(0.0)).alias("max_drawdown"))
+
+
+def summary(rows: DataFrame, per_year: float, risk_free: float = 0.0) -> DataFrame:
+    """All metrics of a periods table in one row; without a period with a return only periods (0) and total_return (0) are set."""
+    parts = core(rows, per_year, risk_free)
+    for more in (max_drawdown(rows), tail(rows), moments(rows), trading(rows, per_year), against_benchmark(rows, per_year)):
+        parts = parts.join(F.broadcast(more), how="left") if more.columns != ["var_95", "cvar_95"] else parts.join(F.broadcast(more), F.lit(True), "left")
+    parts = parts.withColumn("calmar", F.when(F.col("max_drawdown") < 0, F.col("annual_return") / F.abs("max_drawdown")))
+    some = F.col("periods") > 0
+    names = [c for c in parts.columns if c not in ("periods", "total_return")]
+    return parts.select("periods", F.when(some, F.col("total_return")).otherwise(0.0).alias("total_return"), *(F.when(some, finite(F.col(c).cast("double"))).alias(c) for c in names))

@@ -6,21 +6,10 @@ from pyspark.sql import DataFrame
 
 
 def _decay(values, alpha: float, least: int):
-    """Weighted mean of all values so far with weights (1 - alpha) ** age; ages count sessions, missing values included."""
-    import numpy as np
+    """Weighted mean of all values so far with weights (1 - alpha) ** age, once there are `least`; ages count sessions, missing values included. A compiled filter of pandas."""
+    import pandas as pd
 
-    out, top, weight, seen = np.full(len(values), np.nan), 0.0, 0.0, 0
-    for i, v in enumerate(values):
-        top, weight = top * (1 - alpha), weight * (1 - alpha)
-        if not np.isnan(v):
-            if not seen:
-                top, weight = v, 1.0
-            else:
-                top, weight = top + alpha * v, weight + alpha
-            seen += 1
-        if seen >= least:
-            out[i] = top / weight
-    return out
+    return pd.Series(values).ewm(alpha=alpha, adjust=False, ignore_na=False, min_periods=least).mean().to_numpy()
 
 
 def _dense(pdf):

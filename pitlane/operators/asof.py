@@ -32,14 +32,24 @@ def latest_features(features: DataFrame, at: DataFrame) -> DataFrame:
     return merged.where("t is not null and row is not null").select("t", "symbol", "feature", "row.observed_at", "row.available_at", "row.revision", "row.value")
 
 
-def known_events(events: DataFrame, at: DataFrame, days: int | None = None, include_future: bool = False) -> DataFrame:
-    """Events available at t; by default those that have happened, and only the last `days` days if given."""
+def known_events(events: DataFrame, at: DataFrame, days: int | None = None, include_future: bool = False, event_type: str | None = None) -> DataFrame:
+    """Events available at t; by default those that have happened, and only the last `days` days (or one type) if given.
+
+    With `days`, an event is dealt to the dates it can be seen on and meets `at` by equality, at most
+    days + 1 rows for each event; without, every later date sees it and the output itself is that large.
+    """
     cond = F.col("available_at") <= F.col("t")
+    if event_type is not None:
+        events = events.where(F.col("event_type") == event_type)
     if not include_future:
         cond = cond & (F.col("event_at") <= F.col("t"))
-    if days is not None:
-        cond = cond & (F.col("event_at") >= F.date_sub("t", days))
-    return events.join(F.broadcast(at), cond)
+    if days is None:
+        return events.join(F.broadcast(at), cond)
+    since = F.col("event_at") >= F.col("t") - F.expr(f"interval '{int(days)}' day")
+    first = F.to_date("available_at") if include_future else F.to_date(F.greatest("available_at", "event_at"))
+    last = F.date_add(F.to_date("event_at"), days)
+    dealt = events.withColumn("__day", F.explode(F.when(first <= last, F.sequence(first, last))))
+    return dealt.join(F.broadcast(at.withColumn("__day", F.to_date("t"))), "__day").where(cond & since).drop("__day")
 
 
 def members(universe: DataFrame, at: DataFrame) -> DataFrame:
@@ -53,3 +63,21 @@ def members_without_universe(prices: DataFrame, at: DataFrame) -> DataFrame:
     days = prices.select("session").distinct()
     last = days.join(F.broadcast(at), F.col("session") <= F.col("t")).groupBy("t").agg(F.max("session").alias("session"))
     return prices.join(F.broadcast(last), "session").select("t", "symbol").distinct()
+
+
+def perturbed(prices: DataFrame, cutoff, clock: str = "session") -> DataFrame:
+    """prices whose rows after a cutoff are corrupted: prices times 1.5 + i / n, i counting the n future rows by (time, symbol), and volume times 3.
+
+    i is the number of rows of earlier sessions (sums over the calendar) plus the place within the session,
+    so no task sees more than one session's rows.
+    """
+    future = prices.where(F.col(clock) > cutoff)
+    order = Window.orderBy(clock).rowsBetween(Window.unboundedPreceding, -1)
+    days = future.groupBy(clock).agg(F.count("*").alias("__in"))
+    days = days.select(clock, F.coalesce(F.sum("__in").over(order), F.lit(0)).alias("__before"), F.sum("__in").over(Window.partitionBy()).alias("__n"))
+    rows = prices.join(F.broadcast(days), clock, "left")
+    place = F.row_number().over(Window.partitionBy(clock).orderBy("symbol")) - 1
+    factor = 1.5 + (F.col("__before") + place) / F.col("__n")
+    after = F.col("__n").isNotNull()
+    changed = {c: F.when(after, F.col(c) * F.col("__factor")).otherwise(F.col(c)) for c in ("open", "high", "low", "close")}
+    return rows.withColumn("__factor", factor).withColumns({**changed, "volume": F.when(after, F.col("volume") * 3).otherwise(F.col("volume"))}).select(*prices.columns)

@@ -58,7 +58,7 @@ class Ledger:
     def append(self, kind: str, label: str = "", **fields: str) -> dict:
         """Add an entry; kind is backtest, demo or note, fields are the run's fingerprints and names. One writer at a time."""
         before = self.entries()
-        entry = {f: "" for f in FIELDS} | {"index": len(before), "timestamp": datetime.now(UTC).isoformat(timespec="seconds"), "kind": kind, "label": label[:200], "prev_hash": before[-1]["entry_hash"] if before else GENESIS}
+        entry = dict.fromkeys(FIELDS) | {"index": len(before), "timestamp": datetime.now(UTC).isoformat(timespec="seconds"), "kind": kind, "label": label[:200], "prev_hash": before[-1]["entry_hash"] if before else GENESIS}
         unknown = set(fields) - set(FIELDS)
         if unknown:
             raise ValueError(f"unknown fields: {sorted(unknown)}")
@@ -73,10 +73,15 @@ class Ledger:
         return entry
 
     def verify(self) -> tuple[bool, str]:
-        """Whether every line parses, chains to the one before it and hashes to itself, and the checkpoint agrees."""
+        good, why, _ = self.check()
+        return good, why
+
+    def check(self) -> tuple[bool, str, int | None]:
+        """(holds, why, first bad line): whether every line parses, chains to the one before it and hashes to itself, and the checkpoint, where there is one, agrees. Blank lines don't count."""
         if not self.path.exists():
-            return (not self.head.exists(), "no ledger" if not self.head.exists() else "the ledger is gone but its checkpoint is there")
-        last, lines = GENESIS, self.path.read_text().splitlines()
+            there = self.head.exists()
+            return (not there, "the ledger is gone but its checkpoint is there" if there else "no ledger", None)
+        last, lines = GENESIS, [x for x in self.path.read_text().splitlines() if x.strip()]
         for i, line in enumerate(lines):
             try:
                 x = json.loads(line)
@@ -84,18 +89,22 @@ class Ledger:
             except (ValueError, KeyError, TypeError):
                 good = False
             if not good:
-                return False, f"entry {i} doesn't hold"
+                return False, f"entry {i} doesn't hold", i
             last = x["entry_hash"]
-        try:
-            head = json.loads(self.head.read_text())
-        except (OSError, ValueError):
-            return False, "the checkpoint can't be read"
-        return (head == {"count": len(lines), "last_hash": last}, "the chain holds" if head == {"count": len(lines), "last_hash": last} else "the checkpoint disagrees with the chain")
+        if self.head.exists():
+            try:
+                head = json.loads(self.head.read_text())
+            except ValueError:
+                return False, "the checkpoint can't be read", None
+            if head != {"count": len(lines), "last_hash": last}:
+                return False, "the checkpoint disagrees with the chain", None
+        return True, "the chain holds", None
 
     def summary(self) -> dict:
         """Runs, distinct strategy variants among them (one at least) and the first name of each."""
         runs = [x for x in self.entries() if x.get("kind") in RUNS]
         names: dict[str, str] = {}
         for x in runs:
-            names.setdefault(x["strategy_fingerprint"], x["strategy_name"])
+            if x.get("strategy_fingerprint"):
+                names.setdefault(x["strategy_fingerprint"], x.get("strategy_name") or "")
         return {"runs": len(runs), "variants": max(1, len(names)), "names": dict(sorted(names.items()))}

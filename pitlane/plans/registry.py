@@ -278,8 +278,8 @@ def composite_topk(t):
     return portfolio.top(_combined(t).withColumn("score", F.round("score", 8)), 3).select(*text("decision"), "symbol", "position")
 
 
-#: Brand-week prices jump wildly, so growth over many periods is given as a logarithm.
 # -- portfolios -----------------------------------------------------------------------------
+# Brand-week prices jump wildly, so growth over many periods is given as a logarithm.
 
 
 @register("screen_topk", _P + _TOP + " select symbol, score, position as rank from pick where decision = (select max(decision) from sig)")
@@ -419,11 +419,8 @@ def walkforward_folds(t):
 
 @register("future_perturbation", _P + " select symbol, cast(session as varchar) as session, case when session > date '1997-01-06' then close * (1.5 + (row_number() over (partition by session > date '1997-01-06' order by session, symbol) - 1) / count(*) over (partition by session > date '1997-01-06')) else close end as close, case when session > date '1997-01-06' then volume * 3 else volume end as volume from prices")
 def future_perturbation(t):
-    future = F.col("session") > F.lit("1997-01-06").cast("date")
-    order = Window.partitionBy("future").orderBy("session", "symbol")
-    factor = 1.5 + (F.row_number().over(order) - 1) / F.count("*").over(Window.partitionBy("future"))
-    rows = t.prices.withColumn("future", future)
-    return rows.select("symbol", *text("session"), F.when(F.col("future"), F.col("close") * factor).otherwise(F.col("close")).alias("close"), F.when(F.col("future"), F.col("volume") * 3).otherwise(F.col("volume")).alias("volume"))
+    changed = asof.perturbed(t.prices, F.lit("1997-01-06").cast("date"))
+    return changed.select("symbol", *text("session"), "close", "volume")
 
 
 # -- exponential averages -------------------------------------------------------------------
