@@ -42,7 +42,7 @@ class Bundle:
     @classmethod
     def of(cls, spark: SparkSession, metadata: dict | None = None, **tables: DataFrame) -> Bundle:
         """Validated tables, kept (in memory, else on disk) until release(); kinds left out are empty."""
-        clean = {k: CONTRACTS[k].apply(tables[k]).drop("__bad_to").persist() if tables.get(k) is not None else CONTRACTS[k].empty(spark) for k in KINDS}
+        clean = {k: CONTRACTS[k].apply(tables[k]).persist() if tables.get(k) is not None else CONTRACTS[k].empty(spark) for k in KINDS}
         return cls(**clean, metadata=dict(metadata or {}))
 
     def release(self) -> None:

@@ -52,7 +52,7 @@ class Contract:
     order: tuple[str, ...] = ()
 
     def empty(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in self.types.items()))
+        return self.clean(spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in self.types.items()))).drop("__bad_to")
 
     def missing(self, df: DataFrame) -> list[str]:
         optional = {"revision", "payload"}
@@ -78,7 +78,7 @@ class Contract:
         broken = [f"{r.rule} ({r.n})" for r in self.violations(df).where("n > 0").orderBy("rule").collect()]
         if broken:
             raise DataContractError(f"{self.kind} breaks: {', '.join(broken)}")
-        return self.clean(df)
+        return self.clean(df).drop("__bad_to")
 
     def sorted(self, df: DataFrame) -> DataFrame:
         """Rows in canonical order; for output only."""
