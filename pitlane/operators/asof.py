@@ -81,3 +81,10 @@ def perturbed(prices: DataFrame, cutoff, clock: str = "session") -> DataFrame:
     after = F.col("__n").isNotNull()
     changed = {c: F.when(after, F.col(c) * F.col("__factor")).otherwise(F.col(c)) for c in ("open", "high", "low", "close")}
     return rows.withColumn("__factor", factor).withColumns({**changed, "volume": F.when(after, F.col("volume") * 3).otherwise(F.col("volume"))}).select(*prices.columns)
+
+
+def last_sessions(prices: DataFrame, sessions: int, symbols: tuple[str, ...] = (), clock: str = "session") -> DataFrame:
+    """Rows of some symbols in the last distinct sessions that these symbols have."""
+    rows = prices.where(F.col("symbol").isin(*symbols)) if symbols else prices
+    days = rows.select(clock).distinct().orderBy(F.desc(clock)).limit(sessions)
+    return rows.join(F.broadcast(days), clock, "left_semi")

@@ -153,7 +153,7 @@ class Engine:
         rows = plan.periods.withColumn("cost", cost).withColumn("strategy_return", F.col("gross_return") - F.col("cost"))
         rows = portfolio.equity(rows, "strategy_return", config.initial_capital)
         rows = portfolio.equity(rows.withColumnsRenamed({"equity": "strategy_equity", "drawdown": "strategy_drawdown"}), "benchmark_return", config.initial_capital)
-        rows = rows.withColumnsRenamed({"equity": "benchmark_equity", "strategy_equity": "equity", "strategy_drawdown": "drawdown"}).persist()
+        rows = rows.withColumnsRenamed({"equity": "benchmark_equity", "drawdown": "benchmark_drawdown"}).withColumnsRenamed({"strategy_equity": "equity", "strategy_drawdown": "drawdown"}).persist()
         per, rf = config.periods_per_year, config.annual_risk_free_rate
         own = metrics.summary(rows.select("exit", "strategy_return", "benchmark_return", "turnover", "gross_exposure"), per, rf).first().asDict()
         bench = rows.where("benchmark_return is not null").select("exit", F.col("benchmark_return").alias("strategy_return"))

@@ -8,10 +8,12 @@ import importlib
 import importlib.util
 import inspect
 import io
+import sys
 from dataclasses import dataclass
 from pathlib import Path
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -208,6 +210,9 @@ class Strategy:
         if type(self).score is Strategy.score:
             raise StrategyContractError(f"{self.name} has neither scores() nor score()")
         own, metadata = self, bundle.metadata
+        home = sys.modules.get(type(self).__module__)
+        if home is not None and home.__name__.split(".")[0] != "pitlane" and home.__name__ != "__main__":
+            register_pickle_by_value(home)  # executors needn't have the strategy's module
         when = decisions.schema["decision"].dataType.simpleString()
 
         def run(frame: pd.DataFrame) -> pd.DataFrame:

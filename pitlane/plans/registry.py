@@ -130,10 +130,10 @@ def asof_events_known(t):
     return asof.known_events(t.events, _event_days(t), days=10).groupBy(*text("t"), "symbol", "event_type").agg(F.count("*").alias("n"))
 
 
-@register("event_sentiment", oracle_ctes("known_events") + _EVENT_DAYS + " select cast(t as varchar) as t, symbol, round(avg(coalesce((cast(json_extract_string(payload, '$.k') as double) - 50) / 50, 0)), 8) as sentiment from asked join known_events on available_at <= t and event_at <= t and event_at >= t - 10 group by all")
+@register("event_sentiment", oracle_ctes("known_events") + _EVENT_DAYS + " select cast(t as varchar) as t, symbol, round(avg(coalesce((cast(json_extract_string(payload, '$.k') as double) - 50) / 50, 0)), 8) + 0.0 as sentiment from asked join known_events on available_at <= t and event_at <= t and event_at >= t - 10 group by all")
 def event_sentiment(t):
     value = F.coalesce((F.get_json_object("payload", "$.k").cast("double") - 50) / 50, F.lit(0.0))
-    return asof.known_events(t.events, _event_days(t), days=10).groupBy(*text("t"), "symbol").agg(F.round(F.avg(value), 8).alias("sentiment"))
+    return asof.known_events(t.events, _event_days(t), days=10).groupBy(*text("t"), "symbol").agg((F.round(F.avg(value), 8) + 0.0).alias("sentiment"))
 
 
 @register("universe_at_dates", oracle_ctes("prices", "universe") + _AT + " select distinct cast(t as varchar) as t, symbol from asked join universe on available_at <= t and effective_from <= t and (effective_to is null or effective_to > t)")
@@ -430,10 +430,11 @@ den as (select grid.symbol, grid.n, px.close, row_number() over (partition by gr
 
 
 def _recurrence(name: str, value: str, source: str, alpha: str) -> str:
-    """(symbol, i, top, weight, seen) of the decayed mean of `value`, one step a session."""
+    """(symbol, i, top, weight, seen) of the decayed mean (top) of `value`, one step a session: its weight decays over gaps and is 1 again after each value."""
+    old = f"r.weight * (1 - {alpha})"
     return f"""{name} as (select symbol, i, coalesce({value}, 0)::double as top, case when {value} is null then 0.0 else 1.0 end::double as weight, case when {value} is null then 0 else 1 end as seen from {source} where i = 1
-  union all select d.symbol, d.i, case when d.{value} is null then r.top * (1 - {alpha}) when r.seen = 0 then d.{value} else r.top * (1 - {alpha}) + {alpha} * d.{value} end,
-  case when d.{value} is null then r.weight * (1 - {alpha}) when r.seen = 0 then 1.0 else r.weight * (1 - {alpha}) + {alpha} end, r.seen + case when d.{value} is null then 0 else 1 end
+  union all select d.symbol, d.i, case when d.{value} is null then r.top when r.seen = 0 then d.{value} else ({old} * r.top + {alpha} * d.{value}) / ({old} + {alpha}) end,
+  case when d.{value} is null then {old} else 1.0 end, r.seen + case when d.{value} is null then 0 else 1 end
   from {name} r join {source} d on d.symbol = r.symbol and d.i = r.i + 1)"""
 
 
@@ -441,11 +442,11 @@ def _recursive(sql: str) -> str:
     return sql.replace("with ", "with recursive ", 1)
 
 
-@register("ema", _recursive(_P + _DENSE + ", " + _recurrence("r", "close", "den", "(2.0 / 11)") + " select den.symbol, cast(session as varchar) as session, round(case when seen >= 10 then top / weight end, 6) as ema from den join r on r.symbol = den.symbol and r.i = den.i join sess on sess.n = den.n where close is not null"))
+@register("ema", _recursive(_P + _DENSE + ", " + _recurrence("r", "close", "den", "(2.0 / 11)") + " select den.symbol, cast(session as varchar) as session, round(case when seen >= 10 then top end, 6) as ema from den join r on r.symbol = den.symbol and r.i = den.i join sess on sess.n = den.n where close is not null"))
 def ema(t):
     return recursive.ema(_numbered(t), 10).select("symbol", *text("session"), F.round(F.nanvl("ema", F.lit(None).cast("double")), 6).alias("ema"))
 
 
-@register("rsi", _recursive(_P + _DENSE + ", st as (select symbol, i, n, close, close - lag(close) over (partition by symbol order by i) as d from den), ud as (select symbol, i, n, close, case when d is not null then greatest(d, 0) end as up, case when d is not null then greatest(-d, 0) end as down from st), " + _recurrence("u", "up", "ud", "(1.0 / 14)") + ", " + _recurrence("v", "down", "ud", "(1.0 / 14)") + " select ud.symbol, cast(session as varchar) as session, round(case when u.seen >= 14 and v.top > 0 then 100 - 100 / (1 + (u.top / u.weight) / (v.top / v.weight)) end, 6) as rsi from ud join u on u.symbol = ud.symbol and u.i = ud.i join v on v.symbol = ud.symbol and v.i = ud.i join sess on sess.n = ud.n where close is not null"))
+@register("rsi", _recursive(_P + _DENSE + ", st as (select symbol, i, n, close, close - lag(close) over (partition by symbol order by i) as d from den), ud as (select symbol, i, n, close, case when d is not null then greatest(d, 0) end as up, case when d is not null then greatest(-d, 0) end as down from st), " + _recurrence("u", "up", "ud", "(1.0 / 14)") + ", " + _recurrence("v", "down", "ud", "(1.0 / 14)") + " select ud.symbol, cast(session as varchar) as session, round(case when u.seen >= 14 and v.top > 0 then 100 - 100 / (1 + u.top / v.top) end, 6) as rsi from ud join u on u.symbol = ud.symbol and u.i = ud.i join v on v.symbol = ud.symbol and v.i = ud.i join sess on sess.n = ud.n where close is not null"))
 def rsi(t):
     return recursive.rsi(_numbered(t)).select("symbol", *text("session"), F.round(F.nanvl("rsi", F.lit(None).cast("double")), 6).alias("rsi"))
