@@ -130,7 +130,7 @@ class Engine:
             raise InsufficientDataError("fewer than two decisions can be executed")
         prices = bundle.prices.withColumnRenamed("timestamp", "session")
         decided = schedule.where("exit is not null").select("decision")
-        signals = signal_rules.checked(strategy.signals(bundle, decided)).persist()
+        signals = signal_rules.checked(strategy.signals(bundle, decided).persist())
         weighted = portfolio.weights(portfolio.top(signals.where("eligible"), c.top_k, c.minimum_score), c.weighting, c.max_weight)
         held = portfolio.holdings(weighted, schedule, prices).persist()
         rows = portfolio.periods(held, schedule, 0.0).drop("cost", "strategy_return")
