@@ -59,14 +59,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         keyed = F.broadcast(keyed)
     hits = _seeds(docs, ["doc_id", "text_hash"]).join(keyed, "seed").select("doc_id", "text_hash", "item_id", "item_hash", (F.col("pos") - F.col("at")).alias("start")).distinct()
     hits = spool(hits, "hits")
-    names = items.select(F.col("item_id").alias("item"), F.xxhash64("h").alias("hash"), F.col("h").alias("g"))
-    few = hits.count() * 64 <= BROADCAST_BYTES
-    wanted = hits.join(names, hits.item_id.eqNullSafe(F.col("item")) & (hits.item_hash == F.col("hash"))).select(F.col("doc_id").alias("doc"), F.col("text_hash").alias("thash"), "item_id", "start", "g")
-    wanted = wanted.groupBy("doc", "thash").agg(F.collect_list(F.struct("item_id", "start", "g")).alias("found"))
+    few = hits.count() * 80 <= BROADCAST_BYTES
+    wanted = hits.groupBy(F.col("doc_id").alias("doc"), F.col("text_hash").alias("thash")).agg(F.collect_list(F.struct("item_id", "item_hash", "start")).alias("found"))
     if few:
         wanted = F.broadcast(wanted)
     joined = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("doc")) & (docs.text_hash == F.col("thash")))
-    one = joined.select("doc_id", "text_hash", "h", F.explode("found").alias("f")).select("doc_id", "text_hash", "h", "f.item_id", "f.start", "f.g")
+    one = joined.select("doc_id", "text_hash", "h", F.explode("found").alias("f")).select("doc_id", "text_hash", "h", "f.item_id", "f.item_hash", "f.start")
+    # items' tokens join last and once for each item, so what is broadcast are the items themselves, measured by their tokens
+    names = items.select(F.col("item_id").alias("item"), F.xxhash64("h").alias("hash"), F.col("h").alias("g"))
+    if (items.agg(F.sum(F.size("h") * 8 + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        names = F.broadcast(names)
+    one = one.join(names, one.item_id.eqNullSafe(F.col("item")) & (one.item_hash == F.col("hash"))).select("doc_id", "text_hash", "h", "item_id", "start", "g")
     equal = F.transform("g", lambda t, i: (F.get("h", F.col("start") + i) == t).cast("int"))
     equal = F.transform(equal, lambda x: F.coalesce(x, F.lit(0)))
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + x)
@@ -80,7 +83,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no passage of benchmark."""
+    """The rows of docs that hold no passage of benchmark.
+
+    Null and empty texts hold none; repeated rows stay or go together; rows with a null id take part; an
+    empty benchmark drops nothing; no rows give no rows. All columns of docs are kept as they are.
+    """
     gone = spool(leaks(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "leaks")
     if gone.count() * 48 <= BROADCAST_BYTES:
         gone = F.broadcast(gone)

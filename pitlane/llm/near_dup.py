@@ -278,7 +278,11 @@ def near_duplicates(docs: DataFrame, short: int = 16) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose document is its component's first."""
+    """The rows of docs whose document is its component's first.
+
+    Null and empty texts, and rows with a null id, stay. Rows of one doc_id and equal text stay or go
+    together. No rows give no rows. All columns of docs are kept as they are.
+    """
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id", "text_hash").distinct()
     gone = small(spool(gone, "gone"), 48).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     return docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash")), "left_anti")

@@ -332,7 +332,11 @@ def drop_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length: i
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with the passages repeated over `length` bytes or more taken out of text (a character cut in two goes whole) and n_chars brought up to date."""
+    """docs with the passages repeated over `length` bytes or more taken out of text (a character cut in two goes whole) and n_chars brought up to date.
+
+    Null and empty texts stay as they are; of repeated rows none keeps the passage; rows with a null id take
+    part; no rows give no rows. Other columns are kept as they are, whatever their names.
+    """
     own = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     bare = docs.withColumnsRenamed(own)
     rest = drop_repeats(bare, tuple(bare.columns), length, payload=True)

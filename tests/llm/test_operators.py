@@ -463,6 +463,116 @@ def test_long_license(spark):
     assert got == {1: (1.0, 2), 2: (0.99, 0)}
 
 
+# -- queries and stages ---------------------------------------------------------------------
+
+
+def test_queries_return_what_their_contracts_name(spark, docs, texts):
+    """Each opN_ query as registered, over its whole table, against plain Python."""
+    from pitlane.llm import queries
+
+    packed = queries.QUERIES["op1_best_fit_packing"](spark, SF).collect()
+    check_packed(packed, pieces(texts))
+    rows = {r.doc_id: r for r in queries.QUERIES["op2_histogram_shards"](spark, SF).collect()}
+    by_shard = defaultdict(list)
+    for d, t in texts.items():
+        data = (t or "").encode()
+        r = rows[d]
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(data) + 8, zlib.crc32(data), "bytes", None) and 0 <= r.shard < 24
+        by_shard[r.shard].append(r)
+    assert all(sorted(r.slot for r in g) == list(range(len(g))) for g in by_shard.values()) and len(rows) == len(texts)
+    same = defaultdict(set)
+    for d, t in texts.items():
+        same[t].add(rows[d].shard)
+    loads = [sum(r["size"] for r in g) for g in by_shard.values()]
+    assert max(loads) - min(loads) <= 2 * max(len(t.encode()) + 8 for t in texts.values()) and len(by_shard) == 24
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.QUERIES["op5_signature_join"](spark, SF).collect()}
+    assert got == {d: (n, c, c == d) for d, (n, c) in slow_components(texts).items()}
+    first, files = 0, {r.doc_id: r for r in queries.QUERIES["op7_seekable_token_files"](spark, SF).collect()}
+    model = Tokenizer.from_file(BYTE)
+    for d in sorted(texts):
+        ids = np.array([*model.encode(texts[d] or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (files[d].start, files[d].n_tokens, files[d].ids_crc32) == (first, len(ids), zlib.crc32(ids.tobytes()))
+        first += len(ids)
+    for r in queries.QUERIES["op9_host_rules"](spark, SF).collect():
+        n, chars, symbols, dup, repeat, _ = slow_counts(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (n, chars, symbols, dup, repeat, n < 50 or 2 * repeat > n)
+    pages = queries.QUERIES["op8_block_tree"](spark, SF)
+    assert pages.columns == ["page_id", "url", "text", "n_chars"] and pages.where("n_chars <> length(text)").count() == 0
+    told = queries.QUERIES["op10_license_bands"](spark, SF)
+    assert told.columns == ["doc_id", "license", "contained", "start"] and told.where("contained < 0.75 or contained > 1").count() == 0
+
+
+def slow_leaks(texts, items):
+    """(doc, item) pairs by comparing every diagonal."""
+    import regex
+
+    split = lambda t: regex.findall(r"[\p{L}\p{M}\p{N}]+", (t or "").lower())
+    out = set()
+    split_items = {i: split(t) for i, t in items.items()}
+    for d, t in texts.items():
+        at = defaultdict(list)
+        for i, w in enumerate(split(t)):
+            at[w].append(i)
+        for k, item in split_items.items():
+            if len(item) < decontaminate.ITEM_TOKENS:
+                continue
+            lines = defaultdict(set)
+            for j, w in enumerate(item):
+                for i in at.get(w, ()):
+                    lines[i - j].add(j)
+            wide = min(len(item), decontaminate.WINDOW)
+            for hit in lines.values():
+                if len(hit) < decontaminate.ITEM_TOKENS * decontaminate.WINDOW_MATCH:
+                    continue
+                flags = np.array([j in hit for j in range(len(item))], int)
+                best = max(flags[s : s + wide].sum() for s in range(len(item) - wide + 1))
+                if best >= np.ceil(wide * decontaminate.WINDOW_MATCH) or len(hit) >= max(decontaminate.ITEM_LEAST, decontaminate.ITEM_SHARE * len(item)):
+                    out.add((d, k))
+                    break
+    return out
+
+
+def test_leaks_against_brute_force(spark, docs, texts):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = {r.item_id: r.text for r in bench.collect()}
+    from pitlane.llm import queries
+
+    got = {(r.doc_id, r.item_id) for r in queries.QUERIES["op6_spaced_seeds"](spark, SF).collect()}
+    assert got == slow_leaks(texts, items)
+
+
+def test_leaks_by_shuffle(spark, docs, texts, monkeypatch):
+    """Beyond the broadcast limit both sides are shuffled, with the same result."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    few = {tuple(r) for r in decontaminate.leaks(docs, bench).collect()}
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert {tuple(r) for r in decontaminate.leaks(docs, bench).collect()} == few
+
+
+def test_stages_on_edges(spark):
+    """Stages keep docs' columns, whatever they are called, and take empty tables, nulls, repeats and clashing names."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for rows in (edge(spark), none(spark)):
+            out = stage(spark, rows, SF)
+            assert out.columns == rows.columns, name
+            assert out.count() <= rows.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, none(spark), SF).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, edge(spark), SF).select("doc_id").distinct().count() == edge(spark).select("doc_id").distinct().count()
+
+
+def test_urls_and_pages_of_great_length(spark):
+    long = "http://a.example.net/" + "x/" * 200_000
+    pages = spark.createDataFrame([(1, long), (2, long), (2, "http://example.org/es/" + "y" * 100_000), (3, "http://EXAMPLE.org/en/1")], "page_id long, url string")
+    outcomes = spark.createDataFrame([(1, 0)], "page_id long, bad int")
+    got = [(r.page_id, r.rule, r.verdict) for r in url_filter.filter_urls(pages, outcomes).collect()]
+    assert sorted(got, key=str) == sorted([(1, None, "allow"), (2, None, "allow"), (2, "example.org/es/", "block"), (3, "example.org/en/1", "block")], key=str)
+    words = " ".join(f"w{i}" for i in range(60_000))
+    df = spark.createDataFrame([(1, "u", f"<article><p>{words}</p><p>{words}</p></article><footer>x</footer>")], "page_id long, url string, html string")
+    assert html_text.extract(df).first().n_chars == 2 * len(words) + 2
+
+
 # -- pipeline -------------------------------------------------------------------------------
 
 
