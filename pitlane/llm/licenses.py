@@ -6,9 +6,9 @@ shorter than the template by more than their step, so a stretch the document hol
 a whole document window, which equals a template window and shares every band with it for certain.
 Where no such stretch is left, windows of similarity s share one of BANDS bands with probability
 1 - (1 - s) ** BANDS. A band is the least hash of a window's five-word shingles under one
-permutation. A document
-that shares a band with a template is then held against the whole template: the share of its
-shingles found within one stretch of the document. Only DataFrame functions run.
+permutation. Documents that share a band with any template stay; their bands are joined with the
+templates' to say which, and a document is then held against each template it has met: the share of
+the template's shingles found within one stretch of the document. Only DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -72,25 +72,31 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     spark = docs.sparkSession
     known = template_rows(spark, templates)
     stored = _with_permutations(known.where("need > 0"))
-    by_band: dict[tuple[int, int], list[int]] = {}
+    by_band: dict[tuple[int, int], list[tuple[int, int]]] = {}
     reach = 0  # of the longest template's stretch
-    for r in stored.select(F.size("w").alias("n"), *(F.col(f"p{j}") for j in range(BANDS))).collect():
+    for r in stored.select("template", F.size("w").alias("n"), *(F.col(f"p{j}") for j in range(BANDS))).collect():
         width = max(w for w, _, least in LADDER if r["n"] >= least)
         reach = max(reach, r["n"] + -(-r["n"] // 4) - 1)
         n = width - SHINGLE + 1
         for j in range(BANDS if n > 1 else 1):
             p = r[f"p{j}"]
-            by_band.setdefault((width, j), []).extend(min(p[i : i + n]) for i in range(len(p) - n + 1))
+            by_band.setdefault((width, j), []).extend((min(p[i : i + n]), r["template"]) for i in range(len(p) - n + 1))
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), tokens(F.col("text")).alias("w"))
     rows = _with_permutations(rows.withColumn("h", _hashes(F.col("w"))).drop("w"))
     steps = {w: step for w, step, _ in LADDER}
     met = F.lit(False)
     for (width, j), values in sorted(by_band.items()):
-        met = met | F.arrays_overlap(_bands(j, width, steps[width]), long_array(sorted(set(values))))
+        met = met | F.arrays_overlap(_bands(j, width, steps[width]), long_array(sorted({v for v, _ in values})))
     # a generator, unlike a filter, isn't pushed below the columns it reads, where each would be computed anew for every use
     found = spool(rows.select("doc_id", "text_hash", "h", F.explode(F.when(met, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))).alias("met")).drop("met"), "licensed")
+    banded = _with_permutations(found)
+    windows = lambda width, j: F.transform(_bands(j, width, steps[width]), lambda v: F.struct(F.lit(width).alias("width"), F.lit(j).alias("j"), v.alias("value")))
+    own = banded.select("doc_id", "text_hash", F.explode(F.concat(*(windows(*key) for key in sorted(by_band)))).alias("b")).select("doc_id", "text_hash", "b.*") if by_band else banded.select("doc_id", "text_hash", F.lit(0).alias("width"), F.lit(0).alias("j"), F.lit(0).cast("long").alias("value")).limit(0)
+    table = spark.createDataFrame([(w, j, v, t) for (w, j), values in by_band.items() for v, t in set(values)], "width int, j int, value long, template int")
+    met_by = own.join(F.broadcast(table), ["width", "j", "value"]).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("template").alias("__template")).distinct()
     shingles = known.select("template", "license", "need", F.size("w").alias("n"), F.explode(F.array_distinct("h")).alias("shingle"))
     at = found.select("doc_id", "text_hash", F.posexplode("h").alias("pos", "shingle")).distinct().join(F.broadcast(shingles), "shingle")
+    at = at.join(met_by, at.doc_id.eqNullSafe(F.col("__id")) & (at.text_hash == F.col("__hash")) & (at.template == F.col("__template")), "left_semi")
     near = Window.partitionBy("doc_id", "text_hash", "template").orderBy("pos").rangeBetween(0, reach)
     far = at.withColumn("inside", F.collect_list(F.struct("pos", "shingle")).over(near))
     inside = F.size(F.array_distinct(F.transform(F.filter("inside", lambda x: x["pos"] < F.col("pos") + F.col("n") + F.ceil(F.col("n") / 4)), lambda x: x["shingle"])))
