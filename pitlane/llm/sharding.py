@@ -104,6 +104,10 @@ def splitters(keyed: DataFrame, parts: int, per_part: int, tolerance: float = 0.
     return found
 
 
+#: Splitters the driver holds at most: slices of 256 MB up to 16 TB of texts, then larger ones (1.5 GB at 100 TB), which are sorted on disk.
+MOST_SLICES = 1 << 16
+
+
 def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.001, slice_bytes: int = 256 << 20, least_slices: int = 9) -> DataFrame:
     """docs with size, law, shard, slot and grown_shard; all columns of docs stay.
 
@@ -118,7 +122,7 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.001, slice_byt
     keyed = docs.withColumns({"size": size, "k1": F.xxhash64(F.coalesce("text", F.lit(""))), "k2": F.coalesce(F.col("doc_id").cast("long"), F.lit(-_HALF))})
     probe = spool(keyed.select("k1", "k2", "size"), "shard-keys")
     total = probe.agg(F.sum("size")).first()[0] or 0
-    per = max(least_slices, min(4096 // shards, -(-total // (shards * slice_bytes))))
+    per = max(least_slices, min(MOST_SLICES // shards, -(-total // (shards * slice_bytes))))
     cuts = splitters(probe, shards, per, tolerance)
     starts = [0, *(rows for _, rows in cuts)]
     base = [starts[s] - starts[s - s % per] for s in range(shards * per)]
