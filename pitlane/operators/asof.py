@@ -1,4 +1,8 @@
-"""What was knowable at a set of dates. `at` tables hold one column, t; they are calendars and are broadcast."""
+"""What was knowable at a set of dates. `at` tables hold a column t.
+
+A table of dates is broadcast if its counted rows stay under FEW; a longer one is joined as Spark sees
+fit. Calendars made here hold one row a session: a century of days is under 40,000.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+FEW = 200_000
+
+
+def few(at: DataFrame) -> DataFrame:
+    return F.broadcast(at) if at.limit(FEW + 1).count() <= FEW else at
+
 
 def latest_prices(prices: DataFrame, at: DataFrame) -> DataFrame:
     """t, symbol and the last price row at or before each t, without a range join: rows and dates are merged and the last row carried forward."""
     symbols = prices.select("symbol").distinct()
     rows = prices.select("symbol", F.col("session").alias("k"), F.struct("session", "close").alias("row"), F.lit(None).cast("date").alias("t"))
-    asked = symbols.join(F.broadcast(at)).select("symbol", F.col("t").alias("k"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), "t")
+    asked = symbols.join(few(at)).select("symbol", F.col("t").alias("k"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), "t")
     order = Window.partitionBy("symbol").orderBy("k", F.col("t").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     merged = rows.unionByName(asked).withColumn("row", F.last("row", ignorenulls=True).over(order))
     return merged.where("t is not null and row is not null").select("t", "symbol", "row.session", "row.close")
@@ -26,7 +36,7 @@ def latest_features(features: DataFrame, at: DataFrame) -> DataFrame:
     key = F.greatest("observed_at", "available_at")
     rows = features.select("symbol", "feature", key.alias("k"), F.struct("observed_at", "available_at", "revision", "value").alias("row"), F.lit(None).cast("date").alias("t"))
     names = features.select("symbol", "feature").distinct()
-    asked = names.join(F.broadcast(at)).select("symbol", "feature", F.col("t").alias("k"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), "t")
+    asked = names.join(few(at)).select("symbol", "feature", F.col("t").alias("k"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), "t")
     order = Window.partitionBy("symbol", "feature").orderBy("k", F.col("t").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     merged = rows.unionByName(asked).withColumn("row", F.max("row").over(order))
     return merged.where("t is not null and row is not null").select("t", "symbol", "feature", "row.observed_at", "row.available_at", "row.revision", "row.value")
@@ -44,24 +54,24 @@ def known_events(events: DataFrame, at: DataFrame, days: int | None = None, incl
     if not include_future:
         cond = cond & (F.col("event_at") <= F.col("t"))
     if days is None:
-        return events.join(F.broadcast(at), cond)
+        return events.join(few(at), cond)
     since = F.col("event_at") >= F.col("t") - F.expr(f"interval '{int(days)}' day")
     first = F.to_date("available_at") if include_future else F.to_date(F.greatest("available_at", "event_at"))
     last = F.date_add(F.to_date("event_at"), days)
     dealt = events.withColumn("__day", F.explode(F.when(first <= last, F.sequence(first, last))))
-    return dealt.join(F.broadcast(at.withColumn("__day", F.to_date("t"))), "__day").where(cond & since).drop("__day")
+    return dealt.join(few(at.withColumn("__day", F.to_date("t"))), "__day").where(cond & since).drop("__day")
 
 
 def members(universe: DataFrame, at: DataFrame) -> DataFrame:
     """t, symbol: membership intervals [from, to) known at t."""
     cond = (F.col("available_at") <= F.col("t")) & (F.col("effective_from") <= F.col("t")) & (F.col("effective_to").isNull() | (F.col("effective_to") > F.col("t")))
-    return universe.join(F.broadcast(at), cond).select("t", "symbol").distinct()
+    return universe.join(few(at), cond).select("t", "symbol").distinct()
 
 
 def members_without_universe(prices: DataFrame, at: DataFrame) -> DataFrame:
     """t, symbol: those priced in the last session at or before t."""
     days = prices.select("session").distinct()
-    last = days.join(F.broadcast(at), F.col("session") <= F.col("t")).groupBy("t").agg(F.max("session").alias("session"))
+    last = days.join(few(at), F.col("session") <= F.col("t")).groupBy("t").agg(F.max("session").alias("session"))
     return prices.join(F.broadcast(last), "session").select("t", "symbol").distinct()
 
 

@@ -15,9 +15,20 @@ ORACLES: dict = {}
 LOOKBACK, TOP, BPS, CAP, BENCHMARK = 8, 5, 15.0, 0.4, "BRAND#11"
 
 
+_used: list[Tables] = []
+
+
+def _tables(spark, sf_dir: str) -> Tables:
+    """Tables for one query; those of the query before are released, so a long session doesn't fill up."""
+    while _used:
+        _used.pop().release()
+    _used.append(Tables(spark, sf_dir))
+    return _used[0]
+
+
 def register(name: str, sql: str | None = None):
     def add(build):
-        QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: build(_tables(spark, sf_dir))
         if sql:
             ORACLES[name] = sql
         return build

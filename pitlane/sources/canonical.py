@@ -69,6 +69,12 @@ class Tables:
             self.__dict__[name] = build().persist()
         return self.__dict__[name]
 
+    def release(self) -> None:
+        """Give up what is kept; a plan that still uses it computes it again."""
+        for x in self.__dict__.values():
+            if isinstance(x, DataFrame):
+                x.unpersist()
+
     def _sql(self, text: str) -> DataFrame:
         used = {s: self.spark.read.parquet(f"{self.path}/{s}.parquet") for s in _SOURCES if "{" + s + "}" in text}
         return self.spark.sql(text, **used)
