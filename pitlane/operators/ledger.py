@@ -108,3 +108,19 @@ class Ledger:
             if x.get("strategy_fingerprint"):
                 names.setdefault(x["strategy_fingerprint"], x.get("strategy_name") or "")
         return {"runs": len(runs), "variants": max(1, len(names)), "names": dict(sorted(names.items()))}
+
+
+def chained(spark, path: str):
+    """position, index, kind, chained of a ledger's parsable lines as a table: does each name the hash of the one before it.
+
+    Lines are numbered in file order; a ledger is one small file with one writer, so one task orders it.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "text")).where(F.trim("text") != "")
+    fields = spark.createDataFrame([], ", ".join(f"`{f}` {'int' if f == 'index' else 'string'}" for f in (*FIELDS, "entry_hash"))).schema
+    rows = lines.select("line", F.from_json("text", fields).alias("x")).where("x.entry_hash is not null").select("line", "x.*")
+    order = Window.orderBy("line")
+    before = F.lag("entry_hash", 1, GENESIS).over(order)
+    return rows.select((F.row_number().over(order) - 1).alias("position"), "index", "kind", ((F.col("prev_hash") == before) & (F.col("index") == F.row_number().over(order) - 1)).alias("chained"))

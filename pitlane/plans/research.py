@@ -159,6 +159,30 @@ def top_of_eligible(t):
     return portfolio.top(_restricted(t).where("eligible"), 4, -0.1).select(*text("decision"), "symbol", "position")
 
 
+@register("restrict_to_members", oracle_ctes("prices", "universe") + _SIG + """, mem as (select distinct decision, u.symbol from dec join universe u on u.available_at <= decision and effective_from <= decision and (effective_to is null or effective_to > decision))
+ select cast(s.decision as varchar) as decision, s.symbol, s.score from sig s where not exists (select 1 from mem m where m.decision = s.decision) or exists (select 1 from mem m where m.decision = s.decision and m.symbol = s.symbol)""")
+def restrict_to_members(t):
+    """Active members only, or all symbols where a date has no member."""
+    view = View(_bundle(t), _schedule(t).select(F.col("decision").cast("timestamp").alias("decision")))
+    rows = view.restrict_to_members(_signals(t).withColumn("decision", F.col("decision").cast("timestamp")))
+    return rows.select(F.to_date("decision").cast("string").alias("decision"), "symbol", "score")
+
+
+@register("signal_changes", _P + _SIG + """, sm as (select decision, symbol, score from sig where score > 0), lg as (select decision, symbol, score from sig where abs(score) > 0.05) select cast(decision as varchar) as decision, symbol, count(*) as n from (select * from (select * from sm except all select * from lg) union all select * from (select * from lg except all select * from sm)) group by all""")
+def signal_changes(t):
+    """Rows that two signal tables don't share, told both ways."""
+    s = _signals(t)
+    a, b = s.where("score > 0"), s.where("abs(score) > 0.05")
+    return a.exceptAll(b).unionAll(b.exceptAll(a)).groupBy(*text("decision"), "symbol").agg(F.count("*").alias("n"))
+
+
+@register("canonical_order", _P + " select symbol, cast(session as varchar) as session, row_number() over (order by session, symbol) as place from prices qualify place <= 40")
+def canonical_order(t):
+    """The first rows of prices in canonical order, numbered."""
+    first = t.prices.orderBy("session", "symbol").limit(40)
+    return first.select("symbol", *text("session"), F.row_number().over(Window.orderBy("session", "symbol")).cast("long").alias("place"))
+
+
 _NORM = _P + _PX + _AT.replace(", sess as (select session, row_number() over (order by session) as n from (select distinct session from prices))", "") + """, rets as (select a.symbol, a.session, a.n, a.close, a.close / b.close - 1 as ret from px a left join px b on a.symbol = b.symbol and b.n = a.n - 1),
 vol as (select *, case when count(ret) over f = 12 then stddev_samp(ret) over f end as v from rets window f as (partition by symbol order by n range between 11 preceding and current row))"""
 

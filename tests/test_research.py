@@ -453,6 +453,22 @@ def test_formats():
 # -- ledger, projects, command line, tool server --------------------------------------------
 
 
+def test_ledger_as_a_table(spark, tmp_path):
+    ledger = Ledger(tmp_path / "t.jsonl")
+    for k in range(4):
+        ledger.append("note", str(k))
+    assert [(r.position, r["index"], r.chained) for r in asof_rows(spark, ledger)] == [(i, i, True) for i in range(4)]
+    lines = ledger.path.read_text().splitlines()
+    ledger.path.write_text("\n".join([lines[0], "broken", *lines[2:]]) + "\n")
+    assert [r.chained for r in asof_rows(spark, ledger)] == [True, False, False]
+
+
+def asof_rows(spark, ledger):
+    from pitlane.operators.ledger import chained
+
+    return chained(spark, str(ledger.path)).orderBy("position").collect()
+
+
 def test_ledger_rules(tmp_path):
     ledger = Ledger(tmp_path / "t.jsonl")
     for f in ("a", "a", "b", "c", "b"):
