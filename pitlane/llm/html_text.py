@@ -195,7 +195,7 @@ def blocks(page: str) -> tuple[list[str], list[list[float]]]:
     return texts, rows
 
 
-def labelled_blocks(seed: int = 1, pages: int = 800, opaque: float = 0.07) -> tuple[list[list[float]], list[int]]:
+def labelled_blocks(seed: int = 1, pages: int = 1600, opaque: float = 0.07) -> tuple[list[list[float]], list[int]]:
     """The labelled table: FEATURES and 1 (main text) or 0 of the blocks of layouts whose parts are known. opaque: the share of side parts whose class name says nothing."""
     r = random.Random(seed)
     X, y = [], []
