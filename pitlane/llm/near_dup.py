@@ -113,7 +113,7 @@ def components(links: DataFrame) -> DataFrame:
     labels = spool(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = spool(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
+        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
         labels = spool(step.join(jump, "label", "left").select("node", "old", F.least("label", "further").alias("label")), "labels")
         changed = labels.where("old <> label").limit(1).count()
