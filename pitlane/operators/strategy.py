@@ -9,7 +9,9 @@ import importlib.util
 import inspect
 import io
 import sys
+from collections.abc import Collection
 from dataclasses import dataclass
+from functools import reduce
 from pathlib import Path
 
 import pandas as pd
@@ -23,6 +25,7 @@ from pitlane.functions import panel
 from pitlane.operators import asof, calendar, signals
 from pitlane.operators.ledger import canonical_json
 from pitlane.sources.bundle import Bundle
+from pitlane.sources.contracts import KINDS
 from pitlane.sources.files import resolve_within
 
 
@@ -92,9 +95,19 @@ class View:
         return flagged.where(F.col("__some").isNull() | F.col("__in").isNotNull()).drop("__some", "__in")
 
 
+class Missing(BaseException):
+    """A snapshot's table was asked for that wasn't gathered. Not an Exception, so strategies' own handlers let it pass."""
+
+
+_asked: set[str] = set()  # tables that were missed since the set was last cleared, in this process
+
+
 @dataclass
 class Snapshot:
-    """All and only what was knowable at as_of, as pandas frames; for opaque strategies."""
+    """All and only what was knowable at as_of, as pandas frames; for opaque strategies.
+
+    On executors a table may not be gathered yet; the first look at it says so, and the date is scored anew with it.
+    """
 
     as_of: pd.Timestamp
     prices: pd.DataFrame
@@ -103,6 +116,12 @@ class Snapshot:
     universe: pd.DataFrame
     metadata: dict
 
+    def __getattr__(self, name: str):
+        if name in _KEPT:
+            _asked.add(name)
+            raise Missing(name)
+        raise AttributeError(name)
+
     def close_matrix(self) -> pd.DataFrame:
         return self.prices.pivot(index="timestamp", columns="symbol", values="close").sort_index()
 
@@ -137,8 +156,8 @@ class Snapshot:
         return pd.Series(dtype=float) if len(m) <= lookback else (m.iloc[-1] / m.iloc[-1 - lookback] - 1).dropna()
 
 
-def snapshots(bundle: Bundle, decisions: DataFrame, lookback_sessions: int | None = None) -> DataFrame:
-    """decision, kind and the row's columns: everything a snapshot of each decision holds, for grouping by decision.
+def snapshots(bundle: Bundle, decisions: DataFrame, lookback_sessions: int | None = None, kinds: Collection[str] = KINDS) -> DataFrame:
+    """decision, kind and the row's columns: everything a snapshot of each decision holds (or some kinds of it), for grouping by decision.
 
     History is repeated for every decision, which lookback_sessions bounds (it cuts prices, not facts).
     """
@@ -158,8 +177,8 @@ def snapshots(bundle: Bundle, decisions: DataFrame, lookback_sessions: int | Non
         "universe": bundle.universe.join(t, F.col("available_at") <= F.col("decision")),
     }
     out = None
-    for kind, rows in parts.items():
-        named = rows.withColumn("kind", F.lit(kind))
+    for kind in (k for k in parts if k in kinds):
+        named = parts[kind].withColumn("kind", F.lit(kind))
         out = named if out is None else out.unionByName(named, allowMissingColumns=True)
     return out
 
@@ -167,9 +186,27 @@ def snapshots(bundle: Bundle, decisions: DataFrame, lookback_sessions: int | Non
 _KEPT = {"prices": ["symbol", "timestamp", "open", "high", "low", "close", "volume", "source"], "features": ["symbol", "observed_at", "available_at", "feature", "value", "revision", "source"], "events": ["symbol", "event_at", "available_at", "event_type", "payload", "source"], "universe": ["symbol", "effective_from", "effective_to", "available_at", "source"]}
 
 
-def snapshot_of(frame: pd.DataFrame, metadata: dict) -> Snapshot:
+def snapshot_of(frame: pd.DataFrame, metadata: dict, kinds: Collection[str] = KINDS) -> Snapshot:
+    """The snapshot of one decision's rows; kinds that weren't gathered are missing from it."""
     at = frame["decision"].iloc[0]
-    return Snapshot(pd.Timestamp(at), *(frame.loc[frame["kind"] == k, [c for c in v if c in frame.columns]].reset_index(drop=True) for k, v in _KEPT.items()), metadata)
+    made = Snapshot(pd.Timestamp(at), *(frame.loc[frame["kind"] == k, [c for c in v if c in frame.columns]].reset_index(drop=True) if k in kinds else None for k, v in _KEPT.items()), metadata)
+    for k in _KEPT.keys() - set(kinds):
+        delattr(made, k)
+    return made
+
+
+def attempt(strategy: Strategy, frame: pd.DataFrame, metadata: dict, kinds: Collection[str]) -> tuple[pd.DataFrame | None, list[str]]:
+    """A clone's scores of one decision's rows of some kinds, and the tables it missed, whatever it made of missing them."""
+    _asked.clear()
+    out = None
+    try:
+        out = signals.frame_of(strategy.clone().score(snapshot_of(frame, metadata, kinds)))
+    except Missing:
+        pass
+    except Exception:
+        if not _asked:
+            raise
+    return out, sorted(_asked)
 
 
 class Strategy:
@@ -209,18 +246,40 @@ class Strategy:
             return self.scores(View(bundle, decisions))
         if type(self).score is Strategy.score:
             raise StrategyContractError(f"{self.name} has neither scores() nor score()")
-        own, metadata = self, bundle.metadata
         home = sys.modules.get(type(self).__module__)
         if home is not None and home.__name__.split(".")[0] != "pitlane" and home.__name__ != "__main__":
             register_pickle_by_value(home)  # executors needn't have the strategy's module
+        # known facts are many times the prices, and repeated for every decision: they go only to the decisions that ask for them
+        parts, todo, kinds = [], decisions, {"prices"}
+        while True:
+            out = self._asked(bundle, todo, kinds)
+            parts.append(out.where("asked is null").select(*signals.COLUMNS))
+            if kinds >= set(KINDS):
+                break
+            bundle.kept.append(out.persist())
+            met = out.where("asked is not null")
+            more = {r[0] for r in met.select(F.explode("asked")).distinct().collect()}
+            todo = todo.join(met.where("size(asked) = 0").select("decision"), "decision", "left_anti")
+            if not todo.limit(1).count():
+                break
+            # a decision without a row of these kinds may have facts
+            unseen = todo.join(met.select("decision"), "decision", "left_anti").limit(1).count()
+            kinds = set(KINDS) if unseen else kinds | more
+        return reduce(DataFrame.unionByName, parts)
+
+    def _asked(self, bundle: Bundle, decisions: DataFrame, kinds: Collection[str]) -> DataFrame:
+        """Scores of snapshots that hold some kinds, and for each decision a row with asked: the tables it missed, and then no scores."""
+        own, metadata, kinds = self, bundle.metadata, tuple(kinds)
         when = decisions.schema["decision"].dataType.simpleString()
 
         def run(frame: pd.DataFrame) -> pd.DataFrame:
-            snapshot = snapshot_of(frame, metadata)
-            out = signals.frame_of(own.clone().score(snapshot))
-            return out.assign(decision=frame["decision"].iloc[0])[list(signals.COLUMNS)]
+            out, asked = attempt(own, frame, metadata, kinds)
+            mark = pd.DataFrame({"symbol": [None], "score": [None], "eligible": [None], "rationale": [None], "asked": [asked]}, dtype=object)
+            rows = mark if asked or not len(out) else pd.concat([out.astype(object).assign(asked=None), mark], ignore_index=True)
+            return rows.astype({"score": "float64"}).assign(decision=frame["decision"].iloc[0])[[*signals.COLUMNS, "asked"]]
 
-        return snapshots(bundle, decisions, self.lookback_sessions).groupBy("decision").applyInPandas(run, f"decision {when}, symbol string, score double, eligible boolean, rationale string")
+        rows = snapshots(bundle, decisions, self.lookback_sessions, kinds)
+        return rows.groupBy("decision").applyInPandas(run, f"decision {when}, symbol string, score double, eligible boolean, rationale string, asked array<string>")
 
     def signals(self, bundle: Bundle, decisions: DataFrame) -> DataFrame:
         """Normalised signals of all decisions, members and histories applied."""

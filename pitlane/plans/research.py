@@ -75,7 +75,7 @@ def _bundle(t) -> Bundle:
     at = lambda df, *days: df.withColumns({d: F.col(d).cast("timestamp") for d in days})
     prices = at(t.prices.withColumnRenamed("session", "timestamp"), "timestamp").withColumn("source", F.lit("driver"))
     features = at(t.features, "observed_at", "available_at").withColumns({"source": F.lit("driver"), "value_num": F.col("value").cast("double")}).withColumn("value", F.col("value").cast("string"))
-    return Bundle(prices, features, at(t.events, "event_at", "available_at"), at(t.universe, "effective_from", "effective_to", "available_at"), {"price_adjustment": "unknown"})
+    return Bundle(prices, features, at(t.events, "event_at", "available_at"), at(t.universe, "effective_from", "effective_to", "available_at"), {"price_adjustment": "unknown"}, t.more)
 
 
 @register("request_select", oracle_ctes("prices", "features", "known_events", "universe") + """ select 'prices' as kind, count(*) as n, count(distinct symbol) as symbols from prices where symbol in ('BRAND#11', 'BRAND#23') and session between date '1995-03-01' and date '1996-06-30'

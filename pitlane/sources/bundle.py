@@ -38,6 +38,8 @@ class Bundle:
     events: DataFrame
     universe: DataFrame
     metadata: dict = field(default_factory=dict)
+    #: what plans over this bundle and its cuts keep until release()
+    kept: list[DataFrame] = field(default_factory=list, compare=False, repr=False)
 
     @classmethod
     def of(cls, spark: SparkSession, metadata: dict | None = None, **tables: DataFrame) -> Bundle:
@@ -46,8 +48,9 @@ class Bundle:
         return cls(**clean, metadata=dict(metadata or {}))
 
     def release(self) -> None:
-        for k in KINDS:
-            self.table(k).unpersist()
+        for x in (*(self.table(k) for k in KINDS), *self.kept):
+            x.unpersist()
+        self.kept.clear()
 
     def table(self, kind: str) -> DataFrame:
         return getattr(self, kind)

@@ -71,10 +71,15 @@ class Tables:
 
     def release(self) -> None:
         """Give up what is kept; a plan that still uses it computes it again."""
-        for x in self.__dict__.values():
+        for x in (*self.__dict__.values(), *self.more):
             if isinstance(x, DataFrame):
                 x.unpersist()
 
+    @cached_property
+    def more(self) -> list[DataFrame]:
+        """What plans over these tables keep besides."""
+        return []
+
     def _sql(self, text: str) -> DataFrame:
         used = {s: self.spark.read.parquet(f"{self.path}/{s}.parquet") for s in _SOURCES if "{" + s + "}" in text}
         return self.spark.sql(text, **used)

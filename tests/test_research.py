@@ -209,6 +209,51 @@ def test_both_kinds_of_strategy_agree(spark):
         strategy.Strategy().raw(b, at)
 
 
+class PricesAlone(strategy.Strategy):
+    name = "prices alone"
+
+    def score(self, snapshot):
+        assert not vars(snapshot).keys() & {"features", "events", "universe"}  # weren't gathered for it
+        return snapshot.trailing_momentum(3)
+
+
+class FactsWhenLate(strategy.Strategy):
+    """Looks at facts only on some dates, and hides what it misses."""
+
+    name, lookback_sessions = "facts when late", 5
+
+    def score(self, snapshot):
+        prices = snapshot.prices.groupby("symbol").size()
+        if not len(prices):
+            return {"NONE": float(len(snapshot.features))}
+        if snapshot.as_of < pd.Timestamp("2024-01-04"):
+            return prices.astype(float)
+        try:
+            n = len(snapshot.features)
+        except BaseException:  # noqa: B036 - a strategy may do so
+            return {"AAA": -1.0}
+        return {s: n * 100.0 + (len(snapshot.events) if n > 1 else 0) * 10 + len(snapshot.universe) for s in prices.index}
+
+
+def test_facts_go_only_to_dates_that_ask(spark):
+    day = lambda d: f"timestamp'2024-01-{d:02d}'"
+    features = spark.sql(" union all ".join(f"select 'AAA' as symbol, {day(d)} as observed_at, {day(d)} as available_at, 'q' as feature, '1' as value, 1 as revision, 's' as source" for d in (1, 4, 5)))
+    events = spark.sql(f"select 'AAA' as symbol, {day(2)} as event_at, {day(2)} as available_at, 'e' as event_type, '{{}}' as payload, 's' as source")
+    b = Bundle.of(spark, prices=synthetic.table(spark, tiny_prices()), features=features, events=events)
+    at = b.prices.select(F.col("timestamp").alias("decision")).distinct()
+    alone = PricesAlone().signals(b, at)
+    assert alone.count() == 6 and alone.exceptAll(ThreeSessions().signals(b, at)).count() == 0
+    late = FactsWhenLate().raw(b, at.unionAll(spark.sql(f"select {day(6)} as decision"))).orderBy("decision", "symbol").collect()
+    # a Saturday is no session, so no prices are known in its lookback, but facts are
+    assert [(r.decision.day, r.symbol, r.score) for r in late] == [
+        (1, "AAA", 1.0), (1, "BBB", 1.0), (2, "AAA", 2.0), (2, "BBB", 2.0), (3, "AAA", 3.0), (3, "BBB", 3.0),
+        (4, "AAA", 210.0), (4, "BBB", 210.0), (5, "AAA", 310.0), (5, "BBB", 310.0), (6, "NONE", 3.0), (8, "AAA", 310.0), (8, "BBB", 310.0),
+    ]
+    assert b.kept
+    b.release()
+    assert not b.kept
+
+
 def test_snapshot_methods(spark, demo):
     snap = strategy.snapshot_of(strategy.snapshots(demo[0], spark.sql("select timestamp'2020-05-01' as decision")).toPandas(), {})
     assert len(snap.price_history(["alpine", "BASALT"], 5)) == 10
