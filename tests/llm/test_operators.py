@@ -1,5 +1,6 @@
 """Each operator against brute force on small tables, and on nulls, empties, repeats, ties and clashing columns."""
 
+from pathlib import Path
 import hashlib
 import io
 import itertools
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pitlane.llm import decontaminate, host_quality, html_text, licenses, near_dup, packing, sharding, suffix_dedup, token_files, url_filter
+from pitlane.llm import common, decontaminate, host_quality, html_text, licenses, near_dup, packing, sharding, suffix_dedup, token_files, url_filter
 from pitlane.llm.shingles import alike, shingle_set
 from pitlane.llm.tokens import UnitCoder
 
@@ -447,6 +448,18 @@ def test_licenses(spark):
     assert licenses.scan(edge(spark)).count() == 0 and licenses.scan(none(spark)).count() == 0
 
 
+def test_used_up_tables_go(spark):
+    """Of the tables made for repeated passages only the last stays, which the result still reads."""
+    folder = f"{common.shared_dir(spark)}/pitlane-{spark.sparkContext.applicationId}".removeprefix("file://")
+    tables = lambda: {p.name for p in Path(folder).iterdir()} if Path(folder).exists() else set()
+    before, passage = tables(), " ".join(f"word{i}" for i in range(100))
+    told = spark.createDataFrame([(i, f"{c * 300} {passage} {c * 300}") for i, c in enumerate("abc")], "doc_id long, text string")
+    rest = suffix_dedup.drop_repeats(told)
+    assert [p.split("-")[0] for p in tables() - before] == ["found"]
+    assert [r.n_removed for r in rest.collect()] == [len(f" {passage} ")] * 3
+    assert spark.conf.get(common.CLEANUP) == "false"
+
+
 def test_repeats_of_fifty_words(spark):
     passage = " ".join(f"word{i}" for i in range(10, 61))
     told = spark.createDataFrame([(i, f"{c * 300} {passage} {c * 300}") for i, c in enumerate("abc")], "doc_id long, text string")
