@@ -468,6 +468,17 @@ def test_repeats_of_fifty_words(spark):
     assert [passage in r.text for r in suffix_dedup.without_repeats(told).collect()] == [True] * 3
 
 
+def test_repeats_query_returns_texts(spark, tmp_path):
+    """Passages of over 50 words: at 400 bytes or more they go, below they stay by contract; what else a text holds stays as it is."""
+    long, short = (" ".join(f"{c}ord{i}" for i in range(10, 10 + n)) for c, n in (("w", 70), ("p", 51)))
+    rows = [(i, f"{c * 300} {long} {c * 300} {short} \u00e9{c}") for i, c in enumerate("abc")] + [(3, "caf\u00e9 \u6c34 " * 9), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in suffix_dedup.op3_interval_expansion(spark, str(tmp_path)).collect()}
+    assert len(long.encode()) >= 400 > len(short.encode()) > 300
+    assert [got[i].kept_text for i in range(5)] == [rows[i][1].replace(f" {long} ", "") for i in range(3)] + [rows[3][1], ""]
+    assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 and len(r.kept_text.encode()) == r.n_kept for r in got.values())
+
+
 def test_long_license(spark):
     """A whole license text, unaltered and with a stretch of its own put in."""
     words = [f"t{i}" for i in range(400)]
